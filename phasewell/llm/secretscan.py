@@ -151,6 +151,10 @@ def cut_offs(scanned: DataFrame) -> dict[int, int]:
     return least
 
 
+def of_kind(found: Column, kind: int) -> Column:
+    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
+
+
 def spans(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns keep of df, then base and found: spans (s, k, e) by start and kind, of the base kinds and of all.
 
@@ -160,11 +164,11 @@ def spans(df: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("pad"))
     wide = df.select(row.alias("row"), text.alias("t"))
-    kinds = [F.transform(cat(F.col("t"), *k[1:]), lambda x, n=n: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), x["e"].alias("e"))) for n, k in enumerate(KINDS)]
+    kinds = [of_kind(cat(F.col("t"), *k[1:]), n) for n, k in enumerate(KINDS)]
     scanned = work.save(wide.select("row", F.concat(*kinds).alias("base"), candidates(F.col("t")).alias("tested")), "scanned")
     least = cut_offs(scanned)
     accept = lambda x: F.coalesce(*[F.when(x["c"] == c, x["b"] >= b) for c, b in sorted(least.items())], F.lit(False))
-    random = F.transform(F.filter("tested", accept), lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
+    random = of_kind(F.filter("tested", accept), len(KINDS))
     columns = [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(keep)]
     return scanned.select(*columns, F.array_sort("base").alias("base"), F.array_sort(F.concat("base", random)).alias("found"))
 

@@ -288,10 +288,10 @@ def links(work: Work, nodes: DataFrame, radius: int, wide_radius: int | None = N
                         yield pa.RecordBatch.from_arrays(arrays, names=["part", "value", "band", "blocks", "id", "own", "fp", "w"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(held).combine_chunks()
         keys = [table[c].to_numpy() for c in ("part", "value", "band", "blocks")]
         order = np.lexsort(keys[::-1])
         change = np.zeros(len(order), bool)
@@ -347,7 +347,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     keyed = fingerprints(df, id_col, text_col, shingle, wide)
     prints = work.save(keyed.select("id", "fp", "w", "n"), "prints")
     nodes = prints.where("n > 0 AND id IS NOT NULL").groupBy("fp", "w").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    nodes = work.save(nodes.select("id", "fp", "w", F.floor(F.log(F.lit(ratio), F.col("n"))).cast("long").alias("band")), "nodes")
+    nodes = work.save(nodes.select("id", "fp", "w", F.floor(F.log(ratio, F.col("n"))).cast("long").alias("band")), "nodes")
     found = components(work, links(work, nodes, radius, wide_radius, banded=True))
     lost = work.save(found.where("node != component").select(F.col("node").alias("id")), "lost")
     stay = work.save(nodes.select("id").join(lost, "id", "left_anti"), "stay")

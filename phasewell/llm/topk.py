@@ -11,7 +11,7 @@ Edge cases. A vector that is null or has a null or non-finite component takes no
 without an id. Vectors of different lengths compare over their common leading components (the shorter
 one counts as padded with zeros); an empty vector scores 0. Exact repeats of a query row are answered
 once; a repeated candidate row is a candidate each time; rows that share a query's id are the query's
-own. Ties go to the smaller id. Scores beyond the range of a long are clipped to it. An empty table
+own. Ties go to the smaller id. Scores beyond 2**63 - 1 either way are clipped to it. An empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -57,7 +57,7 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
         return (q @ c.T).astype(np.int64)
     to_int = np.vectorize(int, otypes=[object])
     exact = to_int(q) @ to_int(c).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(exact, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 def block_topk(q_ids, q, c_ids, c, k, rotation, seed_ids, seeds):

@@ -56,7 +56,7 @@ def test_masking(spark):
     t = texts()
     rows = [(i, x, None, None, None, None, None, None, None) for i, x in enumerate(t)]
     got = dict(s.spans(docs.table(spark, rows), ["doc_id", "text"]).select("doc_id", s.masked(F.col("text"), F.col("found"))).collect())
-    assert got[0] == "[SECRET]\" next" and got[9] == "key [SECRET] end" and got[10] == t[10] and got[7].startswith("😀é token=😀 [SECRET]")
+    assert got[0] == "[SECRET]\" next" and got[9] == "key [SECRET] end" and got[10] == "[SECRET]" and got[11] == t[11] and got[7].startswith("😀é token=😀 [SECRET]")
     assert got[12] == "[SECRET] " * 700
 
 
