@@ -30,8 +30,11 @@ from .common import batched
 
 #: Parameters: pairs remembered, and pieces remembered in each of two generations.
 PAIRS = 1_000_000
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 NEVER = 1 << 40
+#: Letters below this are old enough to be letters to every Unicode version.
+SETTLED = "\u0530"
+MARKS = tuple(".,;:!?")
 
 
 class Vocabulary:
@@ -42,7 +45,9 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.edges: dict[int, tuple | None] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
+        #: Tokens that their own bytes merge to; others never end a prefix.
+        self.sound = {b: i for b, i in ranks.items() if self.edges_of(i) is not None}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -75,19 +80,22 @@ class Vocabulary:
         return self.edges[token]
 
     def stay_apart(self, a: int, b: int) -> bool:
-        got = self.apart.get((a, b))
+        got = self.apart.get(a << 32 | b)
         if got is None:
             if len(self.apart) >= PAIRS:
                 self.apart.clear()
-            got, ranks = True, self.ranks
-            for x, x_ends in self.edges_of(a)[1]:
-                for y, y_ends in self.edges_of(b)[0]:
-                    rank = ranks.get(x + y)
-                    if rank is not None and rank < x_ends and rank <= y_ends:
-                        got = False
-            self.apart[a, b] = got
+            got = self.apart[a << 32 | b] = self.never_joined(a, b)
         return got
 
+    def never_joined(self, a: int, b: int) -> bool:
+        ranks, left_of_b = self.ranks, self.edges_of(b)[0]
+        for x, x_ends in self.edges_of(a)[1]:
+            for y, y_ends in left_of_b:
+                rank = ranks.get(x + y, NEVER)
+                if rank < x_ends and rank <= y_ends:
+                    return False
+        return True
+
 
 class Prefixes:
     """The last token of each prefix of some bytes."""
@@ -99,13 +107,21 @@ class Prefixes:
     def append(self, data: bytes) -> None:
         self.data += data
         v, text, last = self.vocabulary, bytes(self.data), self.last
-        ranks, longest = v.ranks, v.longest
+        rank_of, apart, longest = v.sound.get, v.apart.get, v.longest
         for end in range(len(last) + 1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                t = ranks.get(text[start:end])
-                if t is not None and v.edges_of(t) is not None and (not start or v.stay_apart(last[start - 1], t)):
-                    last.append(t)
-                    break
+            for start in range(end - 1, max(-1, end - longest - 1), -1):  # one start fits, in any order
+                t = rank_of(text[start:end])
+                if t is None:
+                    continue
+                if start:
+                    pair = last[start - 1] << 32 | t
+                    fits = apart(pair)
+                    if fits is None:
+                        fits = v.stay_apart(pair >> 32, t)
+                    if not fits:
+                        continue
+                last.append(t)
+                break
 
     def edit(self, at: int, removed: int, inserted: bytes) -> None:
         """Replaces bytes; prefixes before the place keep their tokens."""
@@ -132,6 +148,10 @@ class Remembered(dict):
         super().__init__()
         self.make, self.lead, self.most, self.old = make, lead, most, {}
 
+    def known(self, chunk: str) -> bytes | None:
+        got = self.get(chunk)
+        return self.old.get(chunk) if got is None else got
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.most:
             self.old = dict(self)
@@ -165,8 +185,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.first, self.later, self.pieces = Remembered(self.cut), Remembered(self.cut, " "), {}
+        self.first, self.later = Remembered(self.cut), Remembered(self.cut, " ")
         self.newline = self.cut("\n")
+        self.marks = {m: self.cut(m) for m in MARKS}
         size = max(vocabulary.bytes_of, default=0) + 1
         self.table = [vocabulary.bytes_of.get(i, b"") for i in range(size)]
 
@@ -175,6 +196,12 @@ class Encoder:
         return [whole] if whole is not None else Prefixes(self.vocabulary, data).ids()
 
     def cut(self, text: str) -> bytes:
+        bare = text[1:] if text[0] == " " else text
+        if bare.isalpha() and max(bare) < SETTLED:  # one piece; the pattern agrees
+            return b"".join([i.to_bytes(4, "little") for i in self.piece(text.encode())])
+        if bare[-1:] in MARKS and bare[:-1].isalpha() and max(bare) < SETTLED:  # two: a word and a mark
+            word = (self.later if text[0] == " " else self.first).known(bare[:-1])
+            return (self.cut(text[:-1]) if word is None else word) + self.marks[bare[-1]]
         return np.array([i for p in self.pattern.findall(text) for i in self.piece(p.encode())], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:

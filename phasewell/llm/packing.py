@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, Unsafe, joined
+from .bpe import SETTLED, Remembered, Unsafe, joined
 from .common import Work
 
 #: Parameters: tokens of a window, open windows of a partition, partitions that a merging task takes, closing id.
@@ -33,8 +33,6 @@ FAN = 64
 END = 1
 PIECES = 20_000
 
-#: Letters below this are old enough to be letters to every Unicode version.
-SETTLED = "԰"
 BYTE_CHARS = [*range(33, 127), *range(161, 173), *range(174, 256)]
 TO_CHARS = {b: b for b in BYTE_CHARS} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in BYTE_CHARS)}
 
