@@ -1,4 +1,328 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries over the embeddings table and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Patterns are folded from embeddings (32 components); scaled ones carry a factor 1 + label / 10. Scores are rounded to six
+decimals before they rank, in both engines. Queries of pairs ask every row whose vec_id is divisible by 100 against all.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from phasewell.functions import identity, kernel
+from phasewell.operators import patterns, query, routing, store
+
+K, DIGITS, ID = 10, 6, "vec_id"
+WEIGHTS = {0: 0.5, 1: 0.3, 2: 0.2}
+ANGLES = 9
+
+
+def table(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return patterns.fold(rows, "embedding", 1 + F.col("label") / 10.0 if scaled else None).select(ID, "label", "amplitude", "phase", "energy_total")
+
+
+def one(spark, sf_dir, vec_id=0, scaled=False):
+    return table(spark, sf_dir, scaled).where(F.col(ID) == vec_id)
+
+
+def r6(c):
+    return F.round(c, DIGITS)
+
+
+def pairs(spark, sf_dir, scaled=True):
+    """Queries (id divisible by 100) against all rows, dealt in parts so that no task takes a whole side."""
+    rows, parts = table(spark, sf_dir, scaled), 16
+    q = rows.where(F.col(ID) % 100 == 0).select(F.col(ID).alias("query_id"), F.col("amplitude").alias("qa"), F.col("phase").alias("qp"), F.col("energy_total").alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return rows.withColumn("part", F.pmod(F.xxhash64(ID), F.lit(parts)).cast("int")).join(q, "part")
+
+
+def variants(spark, sf_dir):
+    """Vectors turned by multiples of 0.35 against themselves: all three zones occur."""
+    angle = F.explode(F.sequence(F.lit(0), F.lit(ANGLES - 1))).alias("k")
+    rows = table(spark, sf_dir).select("*", angle)
+    turned = rows.withColumn("p2", F.transform("phase", lambda f: f + 0.35 * F.col("k"))).withColumn("a2", F.transform("amplitude", lambda a: F.when(F.col("k") == 0, a * 0.65).otherwise(a)))
+    e, d = kernel.compare(F.col("amplitude"), F.col("phase"), F.col("a2"), F.col("p2")), kernel.phase_delta(F.col("phase"), F.col("p2"))
+    return turned.select(ID, "k", r6(e).alias("energy"), r6(d).alias("phase_delta"))
+
+
+def composite(spark, sf_dir):
+    rows = table(spark, sf_dir).where(F.col(ID).isin(*WEIGHTS))
+    weight = F.coalesce(*[F.when(F.col(ID) == i, F.lit(w)) for i, w in WEIGHTS.items()])
+    return patterns.superpose(rows, weight)
+
+
+MATCH = [ID, "energy"]
+DETAILED = [ID, "energy", "phase_delta", "zone", "zone_score"]
+
+
+def q_compare_pairs(s, d):
+    return pairs(s, d).select("query_id", ID, r6(kernel.compare(F.col("qa"), F.col("qp"), F.col("amplitude"), F.col("phase"), F.col("qt"), F.col("energy_total"))).alias("energy"))
+
+
+def q_compare_ignore_phase(s, d):
+    return pairs(s, d).select("query_id", ID, r6(kernel.compare_ignore_phase(F.col("qa"), F.col("amplitude"))).alias("energy"))
+
+
+def q_compare_closed_form(s, d):
+    return pairs(s, d, False).select("query_id", ID, r6(kernel.compare(F.col("qa"), F.col("qp"), F.col("amplitude"), F.col("phase"))).alias("energy"))
+
+
+def q_phase_delta_pairs(s, d):
+    return pairs(s, d).select("query_id", ID, r6(kernel.phase_delta(F.col("qp"), F.col("phase"))).alias("phase_delta"))
+
+
+def q_mean_phase_delta(s, d):
+    return pairs(s, d).select("query_id", ID, r6(kernel.mean_phase_delta(F.col("qp"), F.col("phase"))).alias("mean_delta"))
+
+
+def q_zone_classify(s, d):
+    z = kernel.zone(F.col("energy"), F.col("phase_delta"))
+    return variants(s, d).withColumn("zone", z).withColumn("zone_score", kernel.zone_score(F.col("zone")))
+
+
+def q_zone_score_smooth(s, d):
+    return variants(s, d).select(ID, "k", r6(kernel.smooth_score(F.col("energy"), F.col("phase_delta"))).alias("score"))
+
+
+def q_complex_algebra(s, d):
+    rows = table(s, d).select(ID, F.posexplode(F.arrays_zip(F.slice(kernel.to_complex(F.col("amplitude"), F.col("phase")), 1, 31).alias("a"), F.slice(kernel.to_complex(F.col("amplitude"), F.col("phase")), 2, 31).alias("b"))).alias("pos", "z"))
+    a, b = F.col("z.a"), F.col("z.b")
+    total = kernel.c_add(kernel.c_multiply(a, b), kernel.c_scale(kernel.c_subtract(a, kernel.c_conjugate(b)), 0.5))
+    return rows.select(ID, "pos", r6(total["re"]).alias("re"), r6(total["im"]).alias("im"), r6(kernel.c_abs(kernel.c_negate(a))).alias("size"), r6(kernel.c_abs_squared(b)).alias("square"))
+
+
+def q_superpose(s, d):
+    return composite(s, d).select(F.posexplode(F.arrays_zip("amplitude", "phase")).alias("pos", "c")).select("pos", r6(F.col("c.amplitude")).alias("amplitude"), r6(F.col("c.phase")).alias("phase"))
+
+
+def q_superpose_by_label(s, d):
+    return patterns.superpose(table(s, d), by=["label"]).select("label", F.posexplode("amplitude").alias("pos", "amplitude")).withColumn("amplitude", r6(F.col("amplitude")))
+
+
+def q_query_topk(s, d):
+    return query.query(table(s, d), one(s, d), K, ID, DIGITS).select(*MATCH)
+
+
+def q_query_detailed(s, d):
+    return query.query_detailed(table(s, d, True), one(s, d, 0, True), K, ID, DIGITS).select(*DETAILED)
+
+
+def q_query_interference_map(s, d):
+    return query.interference_entries(table(s, d, True), one(s, d, 0, True), K, ID, DIGITS).select(ID, "energy", "phase_shift", "zone")
+
+
+def q_query_interference(s, d):
+    got = query.interference(table(s, d, True), one(s, d, 0, True), K, ID, DIGITS)
+    return got.select(F.posexplode("matches").alias("pos", "m")).select("pos", "m.vec_id", "m.energy", "m.phase_delta", "m.zone", "m.zone_score")
+
+
+def q_query_composite(s, d):
+    return query.query(table(s, d), composite(s, d), K, ID, DIGITS).select(*MATCH)
+
+
+def q_query_composite_detailed(s, d):
+    return query.query_detailed(table(s, d), composite(s, d), K, ID, DIGITS).select(*DETAILED)
+
+
+def q_query_batch_topk(s, d):
+    rows = table(s, d, True)
+    return query.query_batch(rows, rows.where(F.col(ID) % 100 == 0), K, ID, DIGITS).select("query_id", "rank", *MATCH)
+
+
+def q_query_filtered(s, d):
+    return query.query(table(s, d).where(F.col("label") == 3), one(s, d), K, ID, DIGITS).select(*MATCH)
+
+
+def q_late_materialise(s, d):
+    best = query.query(table(s, d), one(s, d), K, ID, DIGITS).select(*MATCH)
+    return query.materialise(best, table(s, d), ID).select(ID, "energy", r6(kernel.total(F.col("amplitude"))).alias("total"))
+
+
+def placed(s, d):
+    return routing.placed(table(s, d, True))
+
+
+def q_phase_bucket(s, d):
+    return placed(s, d).select(ID, r6(F.col("phase_center")).alias("phase_center"), "phase_bucket")
+
+
+def q_phase_normalise(s, d):
+    x = F.explode(F.transform("phase", lambda f: f * 3)).alias("x")
+    return table(s, d).select(ID, x).groupBy(ID).agg(r6(F.sum(kernel.wrapped(F.col("x")))).alias("total"))
+
+
+def q_phase_range(s, d):
+    c = F.col("phase_center")
+    return placed(s, d).select(ID, kernel.in_range(c, 0.0, 0.25).alias("inside"), kernel.ranges_overlap(c - 0.1, c + 0.1, 0.0, 0.05).alias("overlaps"))
+
+
+def q_shard_centroids(s, d):
+    return routing.centroids(placed(s, d)).withColumn("centroid", r6(F.col("centroid")))
+
+
+def q_shards_relevant(s, d):
+    shards = routing.centroids(placed(s, d))
+    asked = placed(s, d).where(F.col(ID) % 100 == 0).select(F.col(ID).alias("query_id"), "phase_norm")
+    return asked.crossJoin(F.broadcast(shards)).where(routing.circular_distance(F.col("centroid"), F.col("phase_norm")) <= 0.1).select("query_id", "phase_bucket")
+
+
+def q_shard_floor_route(s, d):
+    rows = placed(s, d)
+    return routing.floor_route(routing.centroids(rows), rows).select(ID, "routed_bucket")
+
+
+def q_query_routed(s, d):
+    return routing.query_routed(placed(s, d), one(s, d, 0, True), K, ID, DIGITS).select(*MATCH)
+
+
+def q_query_routed_topup(s, d):
+    return routing.query_routed(placed(s, d), one(s, d, 0, True), 10_000, ID, DIGITS, detailed=True).select(*DETAILED)
+
+
+def q_insert_dedup(s, d):
+    rows = table(s, d)
+    accepted, _ = store.insert_batch(rows.where(F.col(ID) % 3 == 0), rows.where(F.col(ID) % 2 == 0).unionByName(rows.where(F.col(ID) % 4 == 0)), ID)
+    return accepted.select(ID, "label")
+
+
+def q_delete_anti(s, d):
+    rows = table(s, d)
+    return store.delete_batch(rows, rows.where(F.col("label") == 1), ID).select(ID, "label")
+
+
+def q_replace_merge(s, d):
+    rows = table(s, d).select(ID, "label")
+    changes = rows.where(F.col(ID) % 5 == 0).select(F.col(ID).alias("old_id"), (F.col(ID) + 1_000_000).alias(ID), (F.col("label") + 100).alias("label"))
+    return store.replace_batch(rows, changes, ID)
+
+
+def q_exact_contains(s, d):
+    rows = table(s, d)
+    return query.contains_exact(rows.where(F.col("label") < 5), rows, ID)
+
+
+def q_compaction_latest(s, d):
+    rows = table(s, d).select(ID, "label")
+    versions = rows.withColumn("version", F.lit(1)).unionByName(rows.where(F.col(ID) % 3 == 0).select(ID, (F.col("label") + 10).alias("label"), F.lit(2).alias("version"))).withColumn("deleted", (F.col("version") == 2) & (F.col(ID) % 2 == 0))
+    return store.latest(versions, ID, "version", "deleted").select(ID, "label", "version")
+
+
+def q_corpus_list(s, d):
+    rows = s.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("corpus-"), F.col("label").cast("string")).alias("corpus_id"))
+    return rows.union(rows).distinct()
+
+
+def q_corpus_counts(s, d):
+    return s.read.parquet(f"{d}/embeddings.parquet").groupBy(F.concat(F.lit("corpus-"), F.col("label").cast("string")).alias("corpus_id")).agg(F.count("*").alias("n"), F.min(ID).alias("first_id"), F.max(ID).alias("last_id"))
+
+
+def q_content_hash(s, d):
+    return table(s, d).select(ID, identity.content_id("amplitude", "phase").alias("content_id"))
+
+
+def q_hash_route(s, d):
+    return placed(s, d).select(ID, routing.hash_route(F.col("phase_center"), 16).alias("shard"))
+
+
+def q_text_id(s, d):
+    return s.read.parquet(f"{d}/embeddings.parquet").select(ID, identity.text_id(F.col(ID).cast("string")).alias("id"), identity.is_id(identity.text_id(F.col(ID).cast("string"))).alias("valid"))
+
+
+QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
+
+# --- SQL ----------------------------------------------------------------------------------------------------
+
+
+def folded(name: str, scaled: bool) -> str:
+    e = "CAST(embedding[{}] AS DOUBLE)"
+    x, y = e.format("2*i-1"), e.format("2*i")
+    factor = " * (1 + label / 10.0::DOUBLE)" if scaled else ""
+    over = "range(1, len(embedding) // 2 + 1)"
+    return f"{name} AS (SELECT vec_id, label, list_transform({over}, lambda i: sqrt({x}*{x} + {y}*{y}){factor}) AS amp, list_transform({over}, lambda i: atan2({y}, {x})) AS ph FROM embeddings)"
+
+
+IDX = "range(1, len(q.amp) + 1)"
+EA, EB = "list_sum(list_transform(q.amp, lambda x: x*x))", "list_sum(list_transform(c.amp, lambda x: x*x))"
+DELTA = f"atan2(list_sum(list_transform({IDX}, lambda i: sin(c.ph[i] - q.ph[i]))), list_sum(list_transform({IDX}, lambda i: cos(c.ph[i] - q.ph[i]))))"
+
+
+def energy(phase: bool = True) -> str:
+    product = f"list_sum(list_transform({IDX}, lambda i: q.amp[i]*c.amp[i]{'*cos(c.ph[i] - q.ph[i])' if phase else ''}))"
+    both = f"({EA} + {EB})"
+    return f"CASE WHEN {both} = 0 THEN 0 ELSE 0.5 * ({both} + 2 * {product}) / {both} * (CASE WHEN {EA} > 0 AND {EB} > 0 THEN 2 * sqrt({EA} * {EB}) / {both} ELSE 0 END) END"
+
+
+def zones(e: str = "energy", d: str = "phase_delta") -> str:
+    return f"CASE WHEN {e} >= 0.85 AND abs({d} % {2 * math.pi!r}) <= {math.pi / 8!r} THEN 'CORE' WHEN {e} >= 0.3 THEN 'FRINGE' ELSE 'SHADOW' END"
+
+
+SCORE = "CASE zone WHEN 'CORE' THEN 2.0::DOUBLE WHEN 'FRINGE' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def asked(scaled: bool, what: str, where: str = "q.vec_id % 100 = 0") -> str:
+    return f"WITH {folded('c', scaled)}, q AS (SELECT * FROM c) SELECT q.vec_id AS query_id, c.vec_id, {what} FROM q, c WHERE {where}"
+
+
+SUPER = "q AS (SELECT list(a ORDER BY i) AS amp, list(f ORDER BY i) AS ph, -1 AS vec_id FROM (SELECT i, sqrt(re*re + im*im) AS a, atan2(im, re) AS f FROM (SELECT i, sum(w*amp[i]*cos(ph[i])) AS re, sum(w*amp[i]*sin(ph[i])) AS im FROM (SELECT *, unnest(range(1, len(amp) + 1)) AS i, CASE vec_id WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS w FROM c WHERE vec_id IN (0, 1, 2)) GROUP BY i)))"
+
+
+def best(scaled: bool, detailed: bool, q: str = "q AS (SELECT * FROM c WHERE vec_id = 0)", k: int = K, scope: str = "TRUE", extra: str = "") -> str:
+    """The k best as CTE t: vec_id, energy, phase_delta, zone, zone_score, priority."""
+    bonus = "(vec_id = qid)::INT::DOUBLE + 0.5 * (energy > 0.9999989867210388)::INT"
+    return f"""WITH {folded('c', scaled)}, {q}{extra},
+s AS (SELECT c.vec_id, q.vec_id AS qid, round({energy()}, 6) AS energy, round({DELTA}, 6) AS phase_delta FROM q, c WHERE {scope}),
+z AS (SELECT *, {zones()} AS zone FROM s), y AS (SELECT *, {SCORE} AS zone_score FROM z),
+p AS (SELECT *, energy + {bonus}{' + zone_score' if detailed else ''} AS priority FROM y),
+t AS (SELECT *, row_number() OVER (ORDER BY priority DESC, energy DESC, vec_id) AS r FROM p QUALIFY r <= {k})
+"""
+
+
+TURN = f"WITH {folded('p', False)}, v AS (SELECT vec_id, k, amp, ph FROM p, (SELECT unnest(range({ANGLES})) AS k)), q AS (SELECT * FROM v), w AS (SELECT vec_id, k, CASE WHEN k = 0 THEN list_transform(amp, lambda x: x * 0.65::DOUBLE) ELSE amp END AS amp, list_transform(ph, lambda x: x + 0.35::DOUBLE * k) AS ph FROM v), s AS (SELECT q.vec_id, CAST(q.k AS INTEGER) AS k, round({energy()}, 6) AS energy, round({DELTA}, 6) AS phase_delta FROM q JOIN w AS c ON q.vec_id = c.vec_id AND q.k = c.k)"
+PLACED = f"{folded('c', True)}, m AS (SELECT *, list_sum(ph) / len(ph) AS center FROM c), b AS (SELECT *, {math.pi!r} - (({math.pi!r} - center) - floor(({math.pi!r} - center) / {2 * math.pi!r}) * {2 * math.pi!r}) AS norm, CAST(greatest(least(floor((center + {math.pi!r}) / {2 * math.pi / 64!r}), 63), 0) AS INTEGER) AS phase_bucket FROM m), g AS (SELECT phase_bucket, avg(norm) AS centroid, count(*) AS n FROM b GROUP BY phase_bucket)"
+NEAR = f"least(abs(centroid - norm), {2 * math.pi!r} - abs(centroid - norm)) <= 0.1"
+ROUTED = f", m AS (SELECT *, list_sum(ph) / len(ph) AS norm FROM c), b AS (SELECT vec_id, norm, CAST(greatest(least(floor((norm + {math.pi!r}) / {2 * math.pi / 64!r}), 63), 0) AS INTEGER) AS phase_bucket FROM m), g AS (SELECT phase_bucket, avg(norm) AS centroid, count(*) AS n FROM b GROUP BY phase_bucket), near AS (SELECT phase_bucket, n FROM g, (SELECT norm FROM m WHERE vec_id = 0) WHERE {NEAR}), use AS (SELECT phase_bucket FROM g WHERE (SELECT sum(n) FROM near) IS NULL OR (SELECT sum(n) FROM near) < KK OR phase_bucket IN (SELECT phase_bucket FROM near))"
+IN_USE = "c.vec_id IN (SELECT vec_id FROM b WHERE phase_bucket IN (SELECT phase_bucket FROM use))"
+Z31 = f"WITH {folded('p', False)}, e AS (SELECT vec_id, unnest(range(1, 32)) AS i, amp, ph FROM p), z AS (SELECT vec_id, i - 1 AS pos, amp[i]*cos(ph[i]) AS ar, amp[i]*sin(ph[i]) AS ai, amp[i+1]*cos(ph[i+1]) AS br, amp[i+1]*sin(ph[i+1]) AS bi FROM e)"
+D_COLS = "vec_id, energy, phase_delta, zone, zone_score"
+
+ORACLE = {
+    "compare_pairs": asked(True, f"round({energy()}, 6) AS energy"),
+    "compare_ignore_phase": asked(True, f"round({energy(False)}, 6) AS energy"),
+    "compare_closed_form": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT *, list_inner_product(v, v) AS t FROM e)
+SELECT q.vec_id AS query_id, c.vec_id, round(0.5 * (q.t + c.t + 2 * list_inner_product(q.v, c.v)) / (q.t + c.t) * 2 * sqrt(q.t * c.t) / (q.t + c.t), 6) AS energy FROM n q, n c WHERE q.vec_id % 100 = 0""",
+    "phase_delta_pairs": asked(True, f"round({DELTA}, 6) AS phase_delta"),
+    "mean_phase_delta": asked(True, f"round(list_sum(list_transform({IDX}, lambda i: abs(atan2(sin(c.ph[i] - q.ph[i]), cos(c.ph[i] - q.ph[i]))))) / len(q.ph), 6) AS mean_delta"),
+    "zone_classify": f"{TURN}, z AS (SELECT *, {zones()} AS zone FROM s) SELECT *, {SCORE} AS zone_score FROM z",
+    "zone_score_smooth": f"{TURN}, n AS (SELECT vec_id, k, round(greatest(least(energy, 1), 0) * 1000) / 1000 AS e, round(greatest(least(phase_delta, {math.pi!r}), 0) / {math.pi!r} * 1000) / 1000 * {math.pi!r} AS d FROM s) SELECT vec_id, k, round(1 / (1 + exp(-10 * (e - 0.5))) * exp(-(d * d) / {2 * (math.pi / 8) ** 2!r}), 6) AS score FROM n",
+    "complex_algebra": f"{Z31} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(ar*br - ai*bi + 0.5*(ar - br), 6) AS re, round(ar*bi + ai*br + 0.5*(ai + bi), 6) AS im, round(sqrt(ar*ar + ai*ai), 6) AS size, round(br*br + bi*bi, 6) AS square FROM z",
+    "superpose": f"WITH {folded('c', False)}, {SUPER}, e AS (SELECT amp, ph, unnest(range(1, len(amp) + 1)) AS i FROM q) SELECT CAST(i - 1 AS INTEGER) AS pos, round(amp[i], 6) AS amplitude, round(ph[i], 6) AS phase FROM e",
+    "superpose_by_label": f"WITH {folded('c', False)}, e AS (SELECT label, amp, ph, unnest(range(1, len(amp) + 1)) AS i FROM c), g AS (SELECT label, i, sum(amp[i]*cos(ph[i])) AS re, sum(amp[i]*sin(ph[i])) AS im FROM e GROUP BY label, i) SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(sqrt(re*re + im*im), 6) AS amplitude FROM g",
+    "query_topk": best(False, False) + "SELECT vec_id, energy FROM t",
+    "query_detailed": best(True, True) + f"SELECT {D_COLS} FROM t",
+    "query_interference_map": best(True, True) + "SELECT vec_id, energy, phase_delta AS phase_shift, zone FROM t",
+    "query_interference": best(True, True) + f"SELECT CAST(r - 1 AS INTEGER) AS pos, {D_COLS} FROM t",
+    "query_composite": best(False, False, SUPER) + "SELECT vec_id, energy FROM t",
+    "query_composite_detailed": best(False, True, SUPER) + f"SELECT {D_COLS} FROM t",
+    "query_batch_topk": f"WITH {folded('c', True)}, q AS (SELECT * FROM c WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, c.vec_id, round({energy()}, 6) AS energy FROM q, c), p AS (SELECT *, energy + (vec_id = query_id)::INT::DOUBLE + 0.5 * (energy > 0.9999989867210388)::INT AS priority FROM s) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, energy DESC, vec_id) AS INTEGER) AS rank, vec_id, energy FROM p QUALIFY rank <= {K}",
+    "query_filtered": best(False, False, scope="c.label = 3") + "SELECT vec_id, energy FROM t",
+    "late_materialise": best(False, False) + "SELECT vec_id, energy, round(list_sum(amp), 6) AS total FROM t JOIN c USING (vec_id)",
+    "phase_bucket": f"WITH {PLACED} SELECT vec_id, round(center, 6) AS phase_center, phase_bucket FROM b",
+    "phase_normalise": f"WITH {folded('c', False)}, e AS (SELECT vec_id, unnest(ph) * 3 AS x FROM c) SELECT vec_id, round(sum(atan2(sin(x), cos(x))), 6) AS total FROM e GROUP BY vec_id",
+    "phase_range": f"WITH {PLACED} SELECT vec_id, center >= 0 AND center < 0.25 AS inside, center - 0.1 < 0.05 AND 0.0 < center + 0.1 AS overlaps FROM b",
+    "shard_centroids": f"WITH {PLACED} SELECT phase_bucket, round(centroid, 6) AS centroid, n FROM g",
+    "shards_relevant": f"WITH {PLACED} SELECT vec_id AS query_id, g.phase_bucket FROM b, g WHERE vec_id % 100 = 0 AND {NEAR}",
+    "shard_floor_route": f"WITH {PLACED} SELECT vec_id, coalesce((SELECT max_by(g.phase_bucket, centroid) FROM g WHERE centroid <= b.norm), (SELECT min_by(g.phase_bucket, centroid) FROM g)) AS routed_bucket FROM b",
+    "query_routed": best(True, False, scope=IN_USE, extra=ROUTED.replace("KK", str(K))) + "SELECT vec_id, energy FROM t",
+    "query_routed_topup": best(True, True, k=10_000, scope=IN_USE, extra=ROUTED.replace("KK", "10000")) + f"SELECT {D_COLS} FROM t",
+    "insert_dedup": "SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0",
+    "delete_anti": "SELECT vec_id, label FROM embeddings WHERE label <> 1",
+    "replace_merge": "SELECT CASE WHEN vec_id % 5 = 0 THEN vec_id + 1000000 ELSE vec_id END AS vec_id, CASE WHEN vec_id % 5 = 0 THEN label + 100 ELSE label END AS label FROM embeddings",
+    "exact_contains": "SELECT vec_id, label < 5 AS found FROM embeddings",
+    "compaction_latest": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 10 ELSE label END AS label, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM embeddings WHERE NOT (vec_id % 3 = 0 AND vec_id % 2 = 0)",
+    "corpus_list": "SELECT DISTINCT 'corpus-' || label AS corpus_id FROM embeddings",
+    "corpus_counts": "SELECT 'corpus-' || label AS corpus_id, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM embeddings GROUP BY label",
+    "text_id": "SELECT vec_id, md5(CAST(vec_id AS VARCHAR)) AS id, TRUE AS valid FROM embeddings",
+}
