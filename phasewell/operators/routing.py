@@ -31,7 +31,7 @@ def placed(table: DataFrame, config: Config = CONFIG) -> DataFrame:
 
 def centroids(held: DataFrame) -> DataFrame:
     """phase_bucket, centroid and n of each bucket that has rows."""
-    return held.groupBy("phase_bucket").agg(F.avg("phase_norm").alias("centroid"), F.count("*").alias("n"))
+    return held.groupBy("phase_bucket").agg(F.avg(kernel.wrapped(F.col("phase_center"))).alias("centroid"), F.count("*").alias("n"))
 
 
 def circular_distance(a: Column, b: Column) -> Column:
