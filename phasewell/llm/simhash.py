@@ -247,6 +247,25 @@ def few(fps, wide, radius, wide_radius) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Those pairs that each connect two sets that weren't connected yet."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    used = []
+    for n, (x, y) in enumerate(pairs.tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            used.append(n)
+    return pairs[used]
+
+
 SMALL = 48
 
 
@@ -259,6 +278,7 @@ def links(work: Work, nodes: DataFrame, radius: int, wide_radius: int | None = N
     parts, thresholds, hot = plan(nodes, radius)
     probed = [i for i, t in enumerate(thresholds) if t >= 0]
     masks = {i: flips(len(parts[i]), thresholds[i]) for i in probed}
+    bits_in = {i: U64(sum(1 << j for j in parts[i])) for i in probed}
     use_wide = wide_radius is not None
     blocks_of = {i: np.ones(1 << len(parts[i]), np.int64) for i, _ in hot}
     for (i, v), count in hot.items():
@@ -304,18 +324,21 @@ def links(work: Work, nodes: DataFrame, radius: int, wide_radius: int | None = N
             w = table["w"].combine_chunks()
             wide = w.flatten().to_numpy().view(U64).reshape(table.num_rows, -1)[order]
         edges = [0, *np.flatnonzero(change).tolist(), len(order)]
-        out_a, out_b = [], []
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(edges, edges[1:], strict=False):
             if hi - lo < 2 or not own[lo:hi].any():
                 continue
             f, w = fps[lo:hi], wide[lo:hi] if use_wide else None
             x, y = (few if hi - lo <= SMALL else span)(f, w, radius, wide_radius)
-            out_a.append(ids[lo + x])
-            out_b.append(ids[lo + y])
-        if out_a:
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
-            keep = a != b
-            pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)])[keep], axis=0)
+            out_a.append(lo + x)
+            out_b.append(lo + y)
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        part, differ, keep = keys[0][order][a], fps[a] ^ fps[b], ids[a] != ids[b]
+        for n, i in enumerate(probed):  # two nodes that agree in an earlier part are connected there
+            for j in probed[:n]:
+                keep &= (part != i) | (differ & bits_in[j] != 0)
+        pairs = forest(np.unique(np.column_stack([ids[a[keep]], ids[b[keep]]]), axis=0))
+        if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     band = F.col("band").cast("long") if banded else F.lit(0).cast("long")
