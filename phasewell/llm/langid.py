@@ -144,11 +144,12 @@ def fit(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "t
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [bag(t) for t in as_bytes(b.column(0))]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x for x, _ in got], pa.list_(pa.int64())), pa.array([c for _, c in got], pa.list_(pa.int64()))], names=["lang", "k", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x for x, _ in got], pa.list_(pa.int32())), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=["lang", "k", "at", "n"])
 
     rows = df.where(ok & (key <= edge)).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), key.alias("k"))
-    got = rows.mapInArrow(bags, "lang string, k long, at array<long>, n array<long>").orderBy("k", "lang").limit(sample).collect()
-    return train([(np.array(r["at"], np.int64), np.array(r["n"], np.int64)) for r in got], [r["lang"] for r in got])
+    got = rows.mapInArrow(bags, "lang string, k long, at array<int>, n array<int>").orderBy("k", "lang").limit(sample).toArrow()
+    at, n = ([x.values.to_numpy() for x in got[c]] for c in ("at", "n"))  # views, no Python numbers
+    return train(list(zip(at, n, strict=True)), got["lang"].to_pylist())
 
 
 def predict(df: DataFrame, model: Model | None, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
