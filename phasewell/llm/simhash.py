@@ -82,8 +82,11 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, U64).view(np.int64))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide: int = 0) -> DataFrame:
-    """id, fp (64 bits as a long), n (shingles) and w (wide: that many further longs) for each row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide: int = 0, once: bool = False) -> DataFrame:
+    """id, fp (64 bits as a long), n (shingles) and w (wide: that many further longs) for each row.
+
+    once: a shingle that repeats in a text counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -92,7 +95,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             while at < len(texts):  # a few MB of hashes at a time
                 parts, total, start = [], 0, at
                 while at < len(texts) and total < 1_000_000:
-                    parts.append(np.array(shingle_hashes(texts[at], shingle), U64))
+                    found = np.array(shingle_hashes(texts[at], shingle), U64)
+                    parts.append(np.unique(found) if once else found)
                     total, at = total + len(parts[-1]), at + 1
                 sizes, hashes = np.array([len(p) for p in parts]), np.concatenate(parts)
                 with np.errstate(over="ignore"):
@@ -215,40 +219,51 @@ def plan(nodes: DataFrame, radius: int) -> tuple[list[list[int]], list[int], dic
 # --- links inside one value of one part ---------------------------------------------------------------
 
 
-def span(fps, wide, radius, wide_radius) -> tuple[np.ndarray, np.ndarray]:
+def span(fps, wide, radius, levels) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of row numbers that connect what is connected; fewer pairs than rows.
 
     Breadth first: each row is compared once with all rows not yet reached, which a tight cluster leaves few.
+    With wide bits this is done for each level (a wide radius, rising), a cluster of the levels before being reached as
+    one by its closest row: what is connected at a level is then connected by links within it.
     """
-    a, b, todo, front = [], [], np.arange(len(fps)), []
-    while len(todo):
-        if not front:
-            front, todo = [todo[0]], todo[1:]
-        c = front.pop()
-        near = np.bitwise_count(fps[todo] ^ fps[c]) <= radius
-        if wide is not None and near.any():
-            at = np.flatnonzero(near)
-            near[at] = np.bitwise_count(wide[todo[at]] ^ wide[c]).sum(axis=1, dtype=np.int64) <= wide_radius
-        if near.any():
-            found = todo[near]
-            a += [c] * len(found)
-            b += found.tolist()
-            front += found.tolist()
-            todo = todo[~near]
+    a, b, cluster = [], [], np.arange(len(fps))
+    for n, level in enumerate(levels if wide is not None else (None,)):
+        todo, front, joined = np.arange(len(fps)), [], np.zeros(len(fps), np.int64)
+        while len(todo):
+            if not front:
+                mine = cluster[todo] == cluster[todo[0]]
+                front, now = todo[mine].tolist(), int(todo[0])
+                joined[front], todo = now, todo[~mine]
+                continue
+            c = front.pop()
+            near = todo[np.bitwise_count(fps[todo] ^ fps[c]) <= radius]
+            if wide is not None and len(near):
+                apart = np.bitwise_count(wide[near] ^ wide[c]).sum(axis=1, dtype=np.int64)
+                order = np.argsort(apart, kind="stable")
+                near = near[order[: np.searchsorted(apart[order], level, "right")]]
+            if len(near):
+                if n:
+                    near = near[np.unique(cluster[near], return_index=True)[1]]
+                a += [c] * len(near)
+                b += near.tolist()
+                reached = np.isin(cluster[todo], cluster[near])
+                front += todo[reached].tolist()
+                joined[todo[reached]], todo = now, todo[~reached]
+        cluster = joined
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def few(fps, wide, radius, wide_radius) -> tuple[np.ndarray, np.ndarray]:
+def few(fps, wide, radius, levels) -> tuple[np.ndarray, np.ndarray]:
     """All linked pairs of a small group, at once."""
     a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
     if wide is not None and len(a):
-        ok = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= wide_radius
+        ok = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= levels[-1]
         a, b = a[ok], b[ok]
     return a, b
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
-    """Those pairs that each connect two sets that weren't connected yet."""
+    """Those of the pairs (distance first) that each connect two sets that weren't connected yet."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -258,7 +273,7 @@ def forest(pairs: np.ndarray) -> np.ndarray:
         return x
 
     used = []
-    for n, (x, y) in enumerate(pairs.tolist()):
+    for n, (_, x, y) in enumerate(pairs.tolist()):
         x, y = find(x), find(y)
         if x != y:
             root[max(x, y)] = min(x, y)
@@ -269,9 +284,10 @@ def forest(pairs: np.ndarray) -> np.ndarray:
 SMALL = 48
 
 
-def links(work: Work, nodes: DataFrame, radius: int, wide_radius: int | None = None, banded: bool = False) -> DataFrame:
-    """(a, b): ids of nodes that lie within radius bits (and wide_radius wide bits), as spanning links.
+def links(work: Work, nodes: DataFrame, radius: int, levels: tuple[int, ...] = (), banded: bool = False) -> DataFrame:
+    """(a, b): ids of nodes that lie within radius bits, as spanning links.
 
+    With levels, also within levels[-1] wide bits, spanning at each level; their number comes as a column apart.
     nodes: id, fp, w and, if banded, band: only nodes whose bands differ by at most one are compared.
     """
     spark = nodes.sparkSession
@@ -279,7 +295,7 @@ def links(work: Work, nodes: DataFrame, radius: int, wide_radius: int | None = N
     probed = [i for i, t in enumerate(thresholds) if t >= 0]
     masks = {i: flips(len(parts[i]), thresholds[i]) for i in probed}
     bits_in = {i: U64(sum(1 << j for j in parts[i])) for i in probed}
-    use_wide = wide_radius is not None
+    use_wide = bool(levels)
     blocks_of = {i: np.ones(1 << len(parts[i]), np.int64) for i, _ in hot}
     for (i, v), count in hot.items():
         blocks_of[i][v] = count
@@ -329,7 +345,7 @@ def links(work: Work, nodes: DataFrame, radius: int, wide_radius: int | None = N
             if hi - lo < 2 or not own[lo:hi].any():
                 continue
             f, w = fps[lo:hi], wide[lo:hi] if use_wide else None
-            x, y = (few if hi - lo <= SMALL else span)(f, w, radius, wide_radius)
+            x, y = (few if hi - lo <= SMALL else span)(f, w, radius, levels)
             out_a.append(lo + x)
             out_b.append(lo + y)
         a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -337,14 +353,17 @@ def links(work: Work, nodes: DataFrame, radius: int, wide_radius: int | None = N
         for n, i in enumerate(probed):  # two nodes that agree in an earlier part are connected there
             for j in probed[:n]:
                 keep &= (part != i) | (differ & bits_in[j] != 0)
-        pairs = forest(np.unique(np.column_stack([ids[a[keep]], ids[b[keep]]]), axis=0))
+        a, b = a[keep], b[keep]
+        apart = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) if use_wide else np.zeros(len(a), np.int64)
+        pairs = forest(np.unique(np.column_stack([apart, ids[a], ids[b]]), axis=0))
         if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (1, 2, 0)], names=["a", "b", "apart"])
 
     band = F.col("band").cast("long") if banded else F.lit(0).cast("long")
     rows = nodes.count() * sum(map(len, masks.values())) * (2 if banded else 1)
     filed = nodes.select("id", "fp", "w" if use_wide else F.array().cast("array<long>").alias("w"), band.alias("band")).mapInArrow(file, "part int, value long, band long, blocks long, id long, own boolean, fp long, w array<long>")
-    return filed.repartition(tasks_for(spark, rows, TASK_ROWS), "part", "value", "band", "blocks").mapInArrow(meet, "a long, b long")
+    met = filed.repartition(tasks_for(spark, rows, TASK_ROWS), "part", "value", "band", "blocks").mapInArrow(meet, "a long, b long, apart long")
+    return met if use_wide else met.select("a", "b")
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -357,21 +376,46 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(work.save(named, "named"), "fp", "left").select("id", "fp", "component")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 13, wide: int = 4, wide_radius: int = 48, ratio: float = 1.25) -> DataFrame:
+def similar(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """Those pairs (a, b) of ids whose texts' sets of shingles have a Jaccard similarity of at least least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, np.zeros(0, U64)
+        for b in batches:
+            keep = []
+            for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True):
+                if x != last:  # rows come sorted by a where they are many
+                    last, mine = x, np.unique(np.array(shingle_hashes(x, shingle), U64))
+                other = np.unique(np.array(shingle_hashes(y, shingle), U64))
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                keep.append(both >= least * (len(mine) + len(other) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("t")).join(ids, "id", "left_semi").distinct()
+    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("u")), "b")
+    full = right.join(texts.select(F.col("id").alias("a"), "t"), "a").select("a", "b", "t", "u")
+    return full.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 15, wide: int = 4, levels: tuple[int, ...] = (22, 40, 56), ratio: float = 1.25) -> DataFrame:
     """The rows of df less near-copies: of each group the row of the smallest id stays (all columns).
 
-    Two texts link if their numbers of shingles lie within about ratio, their 64-bit fingerprints within radius
-    and their wide fingerprints (64 * wide further bits) within wide_radius. For sets of shingles of Jaccard
-    similarity s a bit differs with probability acos(2 s / (1 + s)) / pi, 0.15 at 0.8, so by default
-    similarities of 0.8 or more link and unrelated texts don't. Texts without words are left alone, and so
+    Candidates are texts whose numbers of different shingles lie within about ratio, their 64-bit fingerprints
+    within radius and their wide fingerprints (64 * wide further bits) within levels[-1]. For sets of shingles of
+    Jaccard similarity s a bit differs with probability acos(2 s / (1 + s)) / pi, 0.15 at 0.8: these radii lie two and
+    three standard deviations above that. Candidates within levels[0] wide bits, as far below it, are near-copies;
+    of all others the similarity is computed from the texts. Texts without words are left alone, and so
     are rows without an id; rows that share an id stay or go together, but of equal rows one stays.
     """
     work = Work(df.sparkSession, "neardup")
-    keyed = fingerprints(df, id_col, text_col, shingle, wide)
+    keyed = fingerprints(df, id_col, text_col, shingle, wide, once=True)
     prints = work.save(keyed.select("id", "fp", "w", "n"), "prints")
     nodes = prints.where("n > 0 AND id IS NOT NULL").groupBy("fp", "w").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     nodes = work.save(nodes.select("id", "fp", "w", F.floor(F.log(ratio, F.col("n"))).cast("long").alias("band")), "nodes")
-    found = components(work, links(work, nodes, radius, wide_radius, banded=True))
+    likely = work.save(links(work, nodes, radius, levels, banded=True), "likely")
+    sure, close = likely.where(f"apart <= {levels[0]}").select("a", "b"), likely.where(f"apart > {levels[0]}").select("a", "b").distinct()
+    found = components(work, sure.unionByName(similar(df, close, id_col, text_col, shingle, similarity)))
     lost = work.save(found.where("node != component").select(F.col("node").alias("id")), "lost")
     stay = work.save(nodes.select("id").join(lost, "id", "left_anti"), "stay")
     empty = prints.where("n = 0 AND id IS NOT NULL").select("id").distinct()

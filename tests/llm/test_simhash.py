@@ -122,3 +122,33 @@ def test_near_dedup(spark):
     want = sum(1 for m in of.values() for i in m[1:] if any(jaccard(rows[i][1], rows[j][1]) >= 0.8 for j in m if j < i))
     assert all(m[0] in left for m in of.values()) and len(kept) == len(set(kept)) + 1
     assert len(rows) - len(left) >= 0.9 * want
+
+
+def test_near_dedup_against_all_pairs(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for i, t in sorted(tuple(r) for r in df.collect()):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split(" ")
+        words = [w for part in words for w in part.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    by, root = {}, {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    far = set()
+    for i, s in sets.items():
+        for j in {j for g in s for j in by.get(g, ())}:
+            both = len(s & sets[j])
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+            else:
+                far |= {i}
+        for g in s:
+            by.setdefault(g, []).append(i)
+    want = {i for i, s in sets.items() if not s or find(i) == i}
+    got = {r.doc_id for r in simhash.near_dedup(df).collect()}
+    assert far and want <= got and len(got - want) <= 0.05 * (len(sets) - len(want))
