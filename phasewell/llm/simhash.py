@@ -146,8 +146,11 @@ def flips(width: int, radius: int) -> list[int]:
     return [sum(1 << j for j in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def allocate(counts: list[np.ndarray], widths: list[int], radius: int) -> tuple[float, list[int]]:
-    """Least estimated cost, and the thresholds that have it: dynamic programming over parts and their sum."""
+def allocate(counts: list[np.ndarray], widths: list[int], radius: int, copies: int = 1, share: float = 1.0) -> tuple[float, list[int]]:
+    """Least estimated cost, and the thresholds that have it: dynamic programming over parts and their sum.
+
+    copies: rows filed for each value; share: of the pairs of a value, those that also meet by band.
+    """
     m, n = len(counts), int(counts[0].sum())
     most = max(0, min(3, radius - m + 1 + m))
     cost = []
@@ -158,7 +161,7 @@ def allocate(counts: list[np.ndarray], widths: list[int], radius: int) -> tuple[
                 break
             index = np.arange(len(c))
             pairs += sum(float(c @ c[index ^ sum(1 << j for j in f)]) for f in combinations(range(width), t))
-            row[t] = PAIR_COST * pairs + ROW_COST * n * sum(comb(width, s) for s in range(t + 1))
+            row[t] = PAIR_COST * share * pairs + ROW_COST * copies * n * sum(comb(width, s) for s in range(t + 1))
         cost.append(row)
     best = {0: (0.0, [])}
     for row in cost:
@@ -171,7 +174,7 @@ def allocate(counts: list[np.ndarray], widths: list[int], radius: int) -> tuple[
     return best.get(radius - m + 1, (float("inf"), []))
 
 
-def plan(nodes: DataFrame, radius: int) -> tuple[list[list[int]], list[int], dict[tuple[int, int], int]]:
+def plan(nodes: DataFrame, radius: int, banded: bool = False) -> tuple[list[list[int]], list[int], dict[tuple[int, int], int]]:
     """Parts, thresholds and the values so common that their nodes go into several blocks."""
     moments = "i int, j int, x long"
 
@@ -205,17 +208,40 @@ def plan(nodes: DataFrame, radius: int) -> tuple[list[list[int]], list[int], dic
     counts = {(m, i): np.zeros(1 << len(p), np.int64) for m in ms for i, p in enumerate(parts[m])}
     for r in nodes.select("fp").mapInArrow(count, moments).groupBy("i", "j").agg(F.sum("x").alias("x")).toLocalIterator():  # at most 2**WIDEST a part
         counts[divmod(r.i, 100)][r.j] = r.x
-    choices = {m: allocate([counts[m, i] for i in range(m)], [len(p) for p in parts[m]], radius) for m in ms}
+    share, bands = 1.0, {}
+    if banded and n:  # a band is a logarithm of a length, so they are few
+        bands = {r.band: r.x for r in nodes.groupBy("band").agg(F.count("*").alias("x")).toLocalIterator()}
+        share = sum((x + bands.get(k + 1, 0)) ** 2 for k, x in bands.items()) / n**2
+    choices = {m: allocate([counts[m, i] for i in range(m)], [len(p) for p in parts[m]], radius, 1 + banded, share) for m in ms}
     m = min(ms, key=lambda m: (choices[m][0], m))
-    hot = {}
-    for i, t in enumerate(choices[m][1]):
-        c = counts[m, i]
-        if t >= 0:
-            near = sum(c[np.arange(len(c)) ^ f] for f in flips(len(parts[m][i]), t))
-            hot |= {(i, int(v)): -(-int(near[v]) // BLOCK) for v in np.flatnonzero(near > BLOCK)}
+    masks = {i: flips(len(parts[m][i]), t) for i, t in enumerate(choices[m][1]) if t >= 0}
+    near = {i: sum(counts[m, i][np.arange(len(counts[m, i])) ^ f] for f in masks[i]) for i in masks}
+    if bands:  # of a common value, the most nodes that meet in one band
+        near = {i: x if (x <= BLOCK).all() else by_band(nodes, parts[m][i], masks[i], min(bands), max(bands)) for i, x in near.items()}
+    hot = {(i, int(v)): -(-int(x[v]) // BLOCK) for i, x in near.items() for v in np.flatnonzero(x > BLOCK)}
     return parts[m], choices[m][1], hot
 
 
+def by_band(nodes: DataFrame, part: list[int], masks: list[int], first: int, last: int) -> np.ndarray:
+    """For each value of a part, the most nodes that probe it and have one of two neighbouring bands."""
+    wide = last - first + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros(wide << len(part), np.int64)
+        for b in batches:
+            at = value_of(b.column(0).to_numpy().view(U64), part) * wide + b.column(1).to_numpy() - first
+            c += np.bincount(at, minlength=len(c))
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at])], names=["i", "x"])
+
+    c = np.zeros(wide << len(part), np.int64)
+    for r in nodes.select("fp", "band").mapInArrow(count, "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).toLocalIterator():  # at most 2**WIDEST a band
+        c[r.i] = r.x
+    c = c.reshape(-1, wide)
+    c[:, 1:] += c[:, :-1].copy()
+    return sum(c[np.arange(len(c)) ^ f] for f in masks).max(axis=1)
+
+
 # --- links inside one value of one part ---------------------------------------------------------------
 
 
@@ -226,6 +252,12 @@ def span(fps, wide, radius, levels) -> tuple[np.ndarray, np.ndarray]:
     With wide bits this is done for each level (a wide radius, rising), a cluster of the levels before being reached as
     one by its closest row: what is connected at a level is then connected by links within it.
     """
+    if wide is not None and len(levels) > 1:  # rows with no link at all need no further look
+        a, b = span(fps, wide, radius, levels[-1:])
+        rows = np.unique(np.concatenate([a, b]))
+        if len(rows) < len(fps):
+            a, b = span(fps[rows], wide[rows], radius, levels)
+            return rows[a], rows[b]
     a, b, cluster = [], [], np.arange(len(fps))
     for n, level in enumerate(levels if wide is not None else (None,)):
         todo, front, joined = np.arange(len(fps)), [], np.zeros(len(fps), np.int64)
@@ -254,12 +286,12 @@ def span(fps, wide, radius, levels) -> tuple[np.ndarray, np.ndarray]:
 
 
 def few(fps, wide, radius, levels) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs of a small group, at once."""
+    """All linked pairs of a small group, at once; spanning ones if they are many."""
     a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
     if wide is not None and len(a):
         ok = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= levels[-1]
         a, b = a[ok], b[ok]
-    return a, b
+    return (a, b) if len(a) <= 8 * len(fps) else span(fps, wide, radius, levels)
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
@@ -281,7 +313,7 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return pairs[used]
 
 
-SMALL = 48
+SMALL = 512
 
 
 def links(work: Work, nodes: DataFrame, radius: int, levels: tuple[int, ...] = (), banded: bool = False) -> DataFrame:
@@ -291,7 +323,7 @@ def links(work: Work, nodes: DataFrame, radius: int, levels: tuple[int, ...] = (
     nodes: id, fp, w and, if banded, band: only nodes whose bands differ by at most one are compared.
     """
     spark = nodes.sparkSession
-    parts, thresholds, hot = plan(nodes, radius)
+    parts, thresholds, hot = plan(nodes, radius, banded)
     probed = [i for i, t in enumerate(thresholds) if t >= 0]
     masks = {i: flips(len(parts[i]), thresholds[i]) for i in probed}
     bits_in = {i: U64(sum(1 << j for j in parts[i])) for i in probed}
