@@ -7,9 +7,10 @@ Search: equal fingerprints first become one node. For radius R the 64 bits are d
 that correlate going to the same part, and each part i gets a threshold T[i] >= -1 with sum T = R - m + 1:
 two fingerprints within R bits then differ by at most T[i] in some part i (-1: the part isn't probed). For
 several m, dynamic programming picks the T of the least cost, from exact counts of each part's values over
-all nodes; the cheapest m wins. A node is filed under its own value of each part and probes all values within
-T[i]. A task verifies the candidates of its values and emits links that span what is connected there, never
-all pairs. A value shared by more than BLOCK nodes is cut into blocks; each pair of blocks is verified.
+all nodes; the cheapest m wins. Part i is cut into T[i] + 1 pieces: of two values within T[i] bits, one piece is
+equal, so nodes are dealt to tasks by their pieces, R + 1 rows a node whatever m is. A task looks up the values
+within T[i] of each value it holds, verifies those candidates and emits links that span what is connected there,
+never all pairs. A piece shared by more than BLOCK nodes is cut into blocks; each pair of blocks meets.
 
 Edge cases. A null text, an empty one and one of white space have fingerprint zero and link like any other;
 fewer words than a shingle make one shingle of all words. A row without an id belongs to the component
@@ -21,6 +22,7 @@ simhash_components and kept by near_dedup.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
@@ -33,11 +35,11 @@ from pyspark.sql import functions as F
 from .common import Work, as_bytes, tasks_for
 from .components import components
 
-#: Parameters: nodes in a block of a hot value; costs of a filed or probing row and of a verified pair;
-#: rows to a task; the widest part in bits, which bounds the counts that reach the driver.
-BLOCK = 8192
-ROW_COST, PAIR_COST = 1e-6, 4e-9
-TASK_ROWS = 500_000
+#: Parameters: nodes in a block of a hot piece; costs of looking up a value and of verifying a pair; rows to
+#: a task; the widest part in bits, which bounds the counts that reach the driver.
+BLOCK = 65_536
+PROBE_COST, PAIR_COST = 1.5e-5, 2e-9
+TASK_ROWS = 250_000
 WIDEST = 16
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -146,10 +148,40 @@ def flips(width: int, radius: int) -> list[int]:
     return [sum(1 << j for j in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def allocate(counts: list[np.ndarray], widths: list[int], radius: int, copies: int = 1, share: float = 1.0) -> tuple[float, list[int]]:
+@dataclass(frozen=True)
+class Piece:
+    """Some bits of a part, and the masks (over the part's bits) that it is the first piece to leave alone."""
+
+    part: int
+    bits: list[int]
+    masks: list[int]
+
+
+def pieces_of(parts: list[list[int]], thresholds: list[int]) -> list[Piece]:
+    """T + 1 pieces of each probed part: a mask of at most T bits leaves one of them alone."""
+    out = []
+    for i, (part, t) in enumerate(zip(parts, thresholds, strict=True)):
+        cuts = [range(k, len(part), t + 1) for k in range(t + 1)]
+        left = flips(len(part), t)
+        for cut in cuts:
+            touched = sum(1 << k for k in cut)
+            out.append(Piece(i, [part[k] for k in cut], [f for f in left if not f & touched]))
+            left = [f for f in left if f & touched]
+    return out
+
+
+def spread(part: list[int]) -> np.ndarray:
+    """Fingerprints that have each value of a part, in order, and zeros elsewhere."""
+    values, out = np.arange(1 << len(part), dtype=U64), np.zeros(1 << len(part), U64)
+    for k, j in enumerate(part):
+        out |= ((values >> U64(k)) & U64(1)) << U64(j)
+    return out
+
+
+def allocate(counts: list[np.ndarray], widths: list[int], radius: int, bands: int = 1, share: float = 1.0) -> tuple[float, list[int]]:
     """Least estimated cost, and the thresholds that have it: dynamic programming over parts and their sum.
 
-    copies: rows filed for each value; share: of the pairs of a value, those that also meet by band.
+    bands: groups in which each value is looked up; share: of the pairs of a value, those that also meet by band.
     """
     m, n = len(counts), int(counts[0].sum())
     most = max(0, min(3, radius - m + 1 + m))
@@ -161,7 +193,7 @@ def allocate(counts: list[np.ndarray], widths: list[int], radius: int, copies: i
                 break
             index = np.arange(len(c))
             pairs += sum(float(c @ c[index ^ sum(1 << j for j in f)]) for f in combinations(range(width), t))
-            row[t] = PAIR_COST * share * pairs + ROW_COST * copies * n * sum(comb(width, s) for s in range(t + 1))
+            row[t] = PAIR_COST * share * pairs + PROBE_COST * min(n, bands * len(c)) * sum(comb(width, s) for s in range(t + 1))
         cost.append(row)
     best = {0: (0.0, [])}
     for row in cost:
@@ -174,8 +206,8 @@ def allocate(counts: list[np.ndarray], widths: list[int], radius: int, copies: i
     return best.get(radius - m + 1, (float("inf"), []))
 
 
-def plan(nodes: DataFrame, radius: int, banded: bool = False) -> tuple[list[list[int]], list[int], dict[tuple[int, int], int]]:
-    """Parts, thresholds and the values so common that their nodes go into several blocks."""
+def plan(nodes: DataFrame, radius: int, banded: bool = False) -> tuple[list[list[int]], list[int], list[Piece], dict[tuple[int, int], int]]:
+    """Parts, thresholds, pieces, and the blocks of each (piece, value) so common that its nodes go into several."""
     moments = "i int, j int, x long"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,18 +244,20 @@ def plan(nodes: DataFrame, radius: int, banded: bool = False) -> tuple[list[list
     if banded and n:  # a band is a logarithm of a length, so they are few
         bands = {r.band: r.x for r in nodes.groupBy("band").agg(F.count("*").alias("x")).toLocalIterator()}
         share = sum((x + bands.get(k + 1, 0)) ** 2 for k, x in bands.items()) / n**2
-    choices = {m: allocate([counts[m, i] for i in range(m)], [len(p) for p in parts[m]], radius, 1 + banded, share) for m in ms}
+    choices = {m: allocate([counts[m, i] for i in range(m)], [len(p) for p in parts[m]], radius, max(1, len(bands)), share) for m in ms}
     m = min(ms, key=lambda m: (choices[m][0], m))
-    masks = {i: flips(len(parts[m][i]), t) for i, t in enumerate(choices[m][1]) if t >= 0}
-    near = {i: sum(counts[m, i][np.arange(len(counts[m, i])) ^ f] for f in masks[i]) for i in masks}
-    if bands:  # of a common value, the most nodes that meet in one band
-        near = {i: x if (x <= BLOCK).all() else by_band(nodes, parts[m][i], masks[i], min(bands), max(bands)) for i, x in near.items()}
-    hot = {(i, int(v)): -(-int(x[v]) // BLOCK) for i, x in near.items() for v in np.flatnonzero(x > BLOCK)}
-    return parts[m], choices[m][1], hot
-
-
-def by_band(nodes: DataFrame, part: list[int], masks: list[int], first: int, last: int) -> np.ndarray:
-    """For each value of a part, the most nodes that probe it and have one of two neighbouring bands."""
+    pieces = pieces_of(parts[m], choices[m][1])
+    hot = {}
+    for p, piece in enumerate(pieces):
+        x = np.bincount(value_of(spread(parts[m][piece.part]), piece.bits), counts[m, piece.part], 1 << len(piece.bits)).astype(np.int64)
+        if bands and x.max() > BLOCK:  # of a common value, the most nodes that meet in one band
+            x = by_band(nodes, piece.bits, min(bands), max(bands))
+        hot |= {(p, int(v)): -(-int(x[v]) // BLOCK) for v in np.flatnonzero(x > BLOCK)}
+    return parts[m], choices[m][1], pieces, hot
+
+
+def by_band(nodes: DataFrame, part: list[int], first: int, last: int) -> np.ndarray:
+    """For each value of some bits, the most nodes that have it and one of two neighbouring bands."""
     wide = last - first + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +273,7 @@ def by_band(nodes: DataFrame, part: list[int], masks: list[int], first: int, las
         c[r.i] = r.x
     c = c.reshape(-1, wide)
     c[:, 1:] += c[:, :-1].copy()
-    return sum(c[np.arange(len(c)) ^ f] for f in masks).max(axis=1)
+    return c.max(axis=1)
 
 
 # --- links inside one value of one part ---------------------------------------------------------------
@@ -285,13 +319,43 @@ def span(fps, wide, radius, levels) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def few(fps, wide, radius, levels) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs of a small group, at once; spanning ones if they are many."""
-    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1))
-    if wide is not None and len(a):
-        ok = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) <= levels[-1]
-        a, b = a[ok], b[ok]
-    return (a, b) if len(a) <= 8 * len(fps) else span(fps, wide, radius, levels)
+#: Comparisons at a time; links a row from which spanning ones are taken instead.
+AT_ONCE, MANY = 1 << 18, 8
+
+
+def across(fps, wide, mine, others, radius, levels) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of two runs of rows (slices; the same or apart); spanning ones if they are many."""
+    size, total, a, b = mine.stop - mine.start, 0, [], []
+    step = max(1, AT_ONCE // max(1, others.stop - others.start))
+    for at in range(mine.start, mine.stop, step):
+        low = at if mine == others else others.start
+        x, y = np.nonzero(np.bitwise_count(fps[at : min(at + step, mine.stop), None] ^ fps[None, low : others.stop]) <= radius)
+        x, y = x + at, y + low
+        if mine == others:
+            x, y = x[x < y], y[x < y]
+        if wide is not None and len(x):
+            ok = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64) <= levels[-1]
+            x, y = x[ok], y[ok]
+        total += len(x)
+        if total > MANY * (size + others.stop - others.start):
+            rows = np.unique(np.r_[mine, others])
+            x, y = span(fps[rows], wide[rows] if wide is not None else None, radius, levels)
+            return rows[x], rows[y]
+        a.append(x)
+        b.append(y)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def probe(fps, wide, values, masks, radius, levels) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of rows, sorted by value, whose values differ by one of the masks."""
+    found, starts = np.unique(values, return_index=True)
+    ends = [*starts[1:].tolist(), len(values)]
+    place = {v: slice(a, b) for v, a, b in zip(found.tolist(), starts.tolist(), ends, strict=True)}
+    for v, mine in place.items():
+        for mask in masks:
+            others = place.get(v ^ mask)
+            if others is not None and v <= v ^ mask:
+                yield across(fps, wide, mine, others, radius, levels)
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
@@ -323,68 +387,67 @@ def links(work: Work, nodes: DataFrame, radius: int, levels: tuple[int, ...] = (
     nodes: id, fp, w and, if banded, band: only nodes whose bands differ by at most one are compared.
     """
     spark = nodes.sparkSession
-    parts, thresholds, hot = plan(nodes, radius, banded)
-    probed = [i for i, t in enumerate(thresholds) if t >= 0]
-    masks = {i: flips(len(parts[i]), thresholds[i]) for i in probed}
-    bits_in = {i: U64(sum(1 << j for j in parts[i])) for i in probed}
+    parts, thresholds, pieces, hot = plan(nodes, radius, banded)
     use_wide = bool(levels)
-    blocks_of = {i: np.ones(1 << len(parts[i]), np.int64) for i, _ in hot}
-    for (i, v), count in hot.items():
-        blocks_of[i][v] = count
+    part_bits = [U64(sum(1 << j for j in parts[p.part])) for p in pieces]
+    piece_bits = [U64(sum(1 << j for j in p.bits)) for p in pieces]
+    blocks_of = {p: np.ones(1 << len(pieces[p].bits), np.int64) for p, _ in hot}
+    for (p, v), count in hot.items():
+        blocks_of[p][v] = count
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, fps = b.column(0).to_numpy(), b.column(1).to_numpy().view(U64)
             bands = b.column(3).to_numpy()
-            where = np.arange(len(ids))
             slot = (mixed(fps, 7) % U64(1 << 20)).astype(np.int64)
-            for i in probed:
-                own = value_of(fps, parts[i])
-                for mask in masks[i]:
-                    value = own ^ mask
-                    blocks = blocks_of[i][value] if i in blocks_of else np.ones(len(value), np.int64)
-                    for shift in (0, 1) if banded else (0,):
-                        if blocks.max(initial=1) == 1:
-                            at, other, mine = where, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-                        else:  # a pair of blocks each, so that any two nodes meet
-                            at = np.repeat(where, blocks)
-                            other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                            mine = slot[at] % blocks[at]
-                        low, high = np.minimum(mine, other), np.maximum(mine, other)
-                        cols = [np.full(len(at), i, np.int32), value[at], bands[at] + shift, low << 20 | high, ids[at], np.full(len(at), mask == 0)]
-                        arrays = [pa.array(c) for c in cols] + [b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at))]
-                        yield pa.RecordBatch.from_arrays(arrays, names=["part", "value", "band", "blocks", "id", "own", "fp", "w"])
+            for p, piece in enumerate(pieces):
+                value = value_of(fps, piece.bits)
+                blocks = blocks_of[p][value] if p in blocks_of else np.ones(len(value), np.int64)
+                # a row for each pair of blocks, so that any two nodes meet
+                at = np.repeat(np.arange(len(ids)), blocks)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                mine = slot[at] % blocks[at]
+                pair = np.minimum(mine, other) << 20 | np.maximum(mine, other)
+                rows = pa.array(at)
+                for shift in (0, 1) if banded else (0,):
+                    cell = p << 40 | value[at] << 20 | bands[at] + shift
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(pair), *[b.column(c).take(rows) for c in range(3)]], names=["cell", "blocks", "id", "fp", "w"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        keys = [table[c].to_numpy() for c in ("part", "value", "band", "blocks")]
-        order = np.lexsort(keys[::-1])
-        change = np.zeros(len(order), bool)
-        for k in keys:
-            s = k[order]
-            change[1:] |= s[1:] != s[:-1]
-        ids, fps, own = table["id"].to_numpy()[order], table["fp"].to_numpy().view(U64)[order], table["own"].to_numpy().astype(bool)[order]
+        del held
+        fps, cell, blocks = table["fp"].to_numpy().view(U64), table["cell"].to_numpy(), table["blocks"].to_numpy()
+        values = np.zeros(len(fps), np.int64)  # of the whole part
+        for p, piece in enumerate(pieces):
+            here = np.flatnonzero(cell >> 40 == p)
+            values[here] = value_of(fps[here], parts[piece.part])
+        order = np.lexsort((values, blocks, cell))
+        ids, fps, cell, blocks, values = table["id"].to_numpy()[order], fps[order], cell[order], blocks[order], values[order]
         wide = None
         if use_wide:
-            w = table["w"].combine_chunks()
-            wide = w.flatten().to_numpy().view(U64).reshape(table.num_rows, -1)[order]
-        edges = [0, *np.flatnonzero(change).tolist(), len(order)]
+            wide = table["w"].combine_chunks().flatten().to_numpy().view(U64).reshape(table.num_rows, -1)[order]
+        del table
+        edges = [0, *(1 + np.flatnonzero((cell[1:] != cell[:-1]) | (blocks[1:] != blocks[:-1]))).tolist(), len(order)]
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(edges, edges[1:], strict=False):
-            if hi - lo < 2 or not own[lo:hi].any():
+            if hi - lo < 2:
                 continue
             f, w = fps[lo:hi], wide[lo:hi] if use_wide else None
-            x, y = (few if hi - lo <= SMALL else span)(f, w, radius, levels)
-            out_a.append(lo + x)
-            out_b.append(lo + y)
+            if hi - lo <= SMALL:
+                met = [across(f, w, slice(0, hi - lo), slice(0, hi - lo), radius, levels)]
+            else:
+                met = probe(f, w, values[lo:hi], pieces[int(cell[lo]) >> 40].masks, radius, levels)
+            for x, y in met:
+                out_a.append(lo + x)
+                out_b.append(lo + y)
         a, b = np.concatenate(out_a), np.concatenate(out_b)
-        part, differ, keep = keys[0][order][a], fps[a] ^ fps[b], ids[a] != ids[b]
-        for n, i in enumerate(probed):  # two nodes that agree in an earlier part are connected there
-            for j in probed[:n]:
-                keep &= (part != i) | (differ & bits_in[j] != 0)
+        mine, differ, keep = cell[a] >> 40, fps[a] ^ fps[b], ids[a] != ids[b]
+        for p, piece in enumerate(pieces[:-1]):  # pairs that an earlier piece brings together are connected there
+            there = (differ & piece_bits[p] == 0) & (np.bitwise_count(differ & part_bits[p]) <= thresholds[piece.part])
+            keep &= (mine <= p) | ~there
         a, b = a[keep], b[keep]
         apart = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) if use_wide else np.zeros(len(a), np.int64)
         pairs = forest(np.unique(np.column_stack([apart, ids[a], ids[b]]), axis=0))
@@ -392,9 +455,9 @@ def links(work: Work, nodes: DataFrame, radius: int, levels: tuple[int, ...] = (
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (1, 2, 0)], names=["a", "b", "apart"])
 
     band = F.col("band").cast("long") if banded else F.lit(0).cast("long")
-    rows = nodes.count() * sum(map(len, masks.values())) * (2 if banded else 1)
-    filed = nodes.select("id", "fp", "w" if use_wide else F.array().cast("array<long>").alias("w"), band.alias("band")).mapInArrow(file, "part int, value long, band long, blocks long, id long, own boolean, fp long, w array<long>")
-    met = filed.repartition(tasks_for(spark, rows, TASK_ROWS), "part", "value", "band", "blocks").mapInArrow(meet, "a long, b long, apart long")
+    rows = nodes.count() * len(pieces) * (2 if banded else 1)
+    filed = nodes.select("id", "fp", "w" if use_wide else F.array().cast("array<long>").alias("w"), band.alias("band")).mapInArrow(file, "cell long, blocks long, id long, fp long, w array<long>")
+    met = filed.repartition(tasks_for(spark, rows, TASK_ROWS), "cell", "blocks").mapInArrow(meet, "a long, b long, apart long")
     return met if use_wide else met.select("a", "b")
 
 
