@@ -471,26 +471,75 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return prints.join(work.save(named, "named"), "fp", "left").select("id", "fp", "component")
 
 
-def similar(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
-    """Those pairs (a, b) of ids whose texts' sets of shingles have a Jaccard similarity of at least least."""
+#: Rows and shingles in a block of a group whose pairs are verified; members of groups that go to all tasks at once.
+GROUP_ROWS, GROUP_SHINGLES, FEW = 2_048, 1_000_000, 1_000_000
+
+
+def alike(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Pairs of row numbers whose sets (none empty) have a Jaccard similarity of at least least, as spanning links.
+
+    Breadth first: each row is compared with all rows not yet reached, so only pairs that confirmed links join are left out.
+    """
+    sizes = np.array([len(s) for s in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(flat), np.uint8)
+    a, b, front, todo, left = [], [], [], np.arange(len(sets)), flat
+    while len(todo):
+        if not front:
+            front, left, todo = [int(todo[0])], left[sizes[todo[0]] :], todo[1:]
+            continue
+        c = front.pop()
+        own = flat[starts[c] : starts[c] + sizes[c]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[left], np.cumsum(sizes[todo]) - sizes[todo], dtype=np.int64)
+        mark[own] = 0
+        near = both >= least * (sizes[c] + sizes[todo] - both)
+        if near.any():
+            reached = todo[near].tolist()
+            a, b, front = a + [c] * len(reached), b + reached, front + reached
+            left, todo = left[np.repeat(~near, sizes[todo])], todo[~near]
+    return a, b
+
+
+def confirmed(work: Work, df: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """(a, b): of all pairs of one group that have a similarity of at least least, links that span what they connect.
+
+    members: kind and key of a group, id, n (shingles). A group of more than GROUP_ROWS rows or GROUP_SHINGLES is cut into
+    blocks, and each pair of blocks meets in a run of its own.
+    """
+    spark = df.sparkSession
+    blocks = F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("blocks")
+    groups = members.groupBy("kind", "key").agg(F.count("*").alias("x"), blocks).where("x > 1").select("kind", "key", "blocks")
+    held = work.save(members.select("kind", "key", "id").distinct().join(groups, ["kind", "key"]), "members")
+    number, copies = held.agg(F.count("*"), F.sum(F.greatest(F.col("blocks") - 1, F.lit(1)))).first()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, np.zeros(0, U64)
-        for b in batches:
-            keep = []
-            for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True):
-                if x != last:  # rows come sorted by a where they are many
-                    last, mine = x, np.unique(np.array(shingle_hashes(x, shingle), U64))
-                other = np.unique(np.array(shingle_hashes(y, shingle), U64))
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(both >= least * (len(mine) + len(other) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("t")).join(ids, "id", "left_semi").distinct()
-    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("u")), "b")
-    full = right.join(texts.select(F.col("id").alias("a"), "t"), "a").select("a", "b", "t", "u")
-    return full.mapInArrow(run, "a long, b long").distinct()
+        def found() -> pa.RecordBatch:
+            x, y = alike(sets, least)
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in x], pa.int64()), pa.array([ids[i] for i in y], pa.int64())], names=["a", "b"])
+
+        last, ids, sets = None, [], []
+        for b in batches:  # rows come sorted by cell
+            cells = zip(*[b.column(c).to_pylist() for c in range(4)], strict=True)
+            for cell, i, t in zip(cells, b.column(4).to_pylist(), as_bytes(b.column(5)), strict=True):
+                if cell != last:
+                    if len(ids) > 1:
+                        yield found()
+                    last, ids, sets = cell, [], []
+                hashes = np.unique(np.array(shingle_hashes(t, shingle), U64))
+                if len(hashes):
+                    ids.append(i)
+                    sets.append(hashes)
+        if len(ids) > 1:
+            yield found()
+
+    texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("t"))
+    rows = texts.join(F.broadcast(held) if number <= FEW else held, "id").distinct()
+    slot, cell = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), ["kind", "key", "low", "high"]
+    dealt = rows.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR other != slot")
+    dealt = dealt.select("kind", "key", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "id", "t")
+    dealt = dealt.repartition(tasks_for(spark, copies or 0, 4 * GROUP_ROWS), *cell).sortWithinPartitions(*cell)
+    return dealt.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 15, wide: int = 4, levels: tuple[int, ...] = (22, 40, 56), ratio: float = 1.25) -> DataFrame:
@@ -499,18 +548,21 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Candidates are texts whose numbers of different shingles lie within about ratio, their 64-bit fingerprints
     within radius and their wide fingerprints (64 * wide further bits) within levels[-1]. For sets of shingles of
     Jaccard similarity s a bit differs with probability acos(2 s / (1 + s)) / pi, 0.15 at 0.8: these radii lie two and
-    three standard deviations above that. Candidates within levels[0] wide bits, as far below it, are near-copies;
-    of all others the similarity is computed from the texts. Texts without words are left alone, and so
+    three standard deviations above that. Groups that candidates connect are then compared from the texts, each pair that
+    confirmed links don't join already. Candidates within levels[0] wide bits, as far below it, are near-copies
+    without that look. Texts without words are left alone, and so
     are rows without an id; rows that share an id stay or go together, but of equal rows one stays.
     """
     work = Work(df.sparkSession, "neardup")
     keyed = fingerprints(df, id_col, text_col, shingle, wide, once=True)
     prints = work.save(keyed.select("id", "fp", "w", "n"), "prints")
     nodes = prints.where("n > 0 AND id IS NOT NULL").groupBy("fp", "w").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    nodes = work.save(nodes.select("id", "fp", "w", F.floor(F.log(ratio, F.col("n"))).cast("long").alias("band")), "nodes")
+    nodes = work.save(nodes.select("id", "fp", "w", F.floor(F.log(ratio, F.col("n"))).cast("long").alias("band"), "n"), "nodes")
     likely = work.save(links(work, nodes, radius, levels, banded=True), "likely")
-    sure, close = likely.where(f"apart <= {levels[0]}").select("a", "b"), likely.where(f"apart > {levels[0]}").select("a", "b").distinct()
-    found = components(work, sure.unionByName(similar(df, close, id_col, text_col, shingle, similarity)))
+    sure = likely.where(f"apart <= {levels[0]}").select("a", "b")
+    groups = work.save(components(work, likely), "groups")
+    members = groups.join(nodes, groups["node"] == nodes["id"]).select(F.lit(0).alias("kind"), F.col("component").alias("key"), "id", "n")
+    found = components(Work(df.sparkSession, "neardup"), sure.unionByName(confirmed(work, df, members, id_col, text_col, shingle, similarity)))
     lost = work.save(found.where("node != component").select(F.col("node").alias("id")), "lost")
     stay = work.save(nodes.select("id").join(lost, "id", "left_anti"), "stay")
     empty = prints.where("n = 0 AND id IS NOT NULL").select("id").distinct()

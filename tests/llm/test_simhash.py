@@ -152,3 +152,36 @@ def test_near_dedup_against_all_pairs(spark):
     want = {i for i, s in sets.items() if not s or find(i) == i}
     got = {r.doc_id for r in simhash.near_dedup(df).collect()}
     assert far and want <= got and len(got - want) <= 0.05 * (len(sets) - len(want))
+
+
+def grouped(sets, least=0.8):
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    return closure(near, sets)
+
+
+def sets_of(rows, k=5):
+    return {i: frozenset(tuple(t.split()[j : j + k]) for j in range(max(1, len(t.split()) - k + 1))) for i, t in rows}
+
+
+@pytest.fixture(scope="module", params=[2048, 100])
+def star(spark, request):
+    """Ids kept, and ids to keep, of variants about 0.8 from one base and mostly less from each other."""
+    rng = random.Random(11)
+    base = docs.words(rng, 240)
+    rows = []
+    for i in range(400):
+        w = base.copy()
+        at = rng.randrange(len(w))
+        for j in range(rng.randint(3, 6)):
+            w[(at + 11 * j + rng.randrange(6)) % len(w)] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w)))
+    root = grouped(sets_of(rows))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash, "GROUP_ROWS", request.param, raising=False)
+        got = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return got, {i for i in root if root[i] == i}
+
+
+def test_near_dedup_misses_none_of_a_star_group(star):
+    got, want = star
+    assert 20 <= len(want) <= 300 and got <= want
