@@ -549,8 +549,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     within radius and their wide fingerprints (64 * wide further bits) within levels[-1]. For sets of shingles of
     Jaccard similarity s a bit differs with probability acos(2 s / (1 + s)) / pi, 0.15 at 0.8: these radii lie two and
     three standard deviations above that. Groups that candidates connect are then compared from the texts, each pair that
-    confirmed links don't join already. Candidates within levels[0] wide bits, as far below it, are near-copies
-    without that look. Texts without words are left alone, and so
+    confirmed links don't join already; only texts of equal fingerprints, wide ones too, are near-copies without
+    that look. Texts without words are left alone, and so
     are rows without an id; rows that share an id stay or go together, but of equal rows one stays.
     """
     work = Work(df.sparkSession, "neardup")
@@ -559,10 +559,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     nodes = prints.where("n > 0 AND id IS NOT NULL").groupBy("fp", "w").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     nodes = work.save(nodes.select("id", "fp", "w", F.floor(F.log(ratio, F.col("n"))).cast("long").alias("band"), "n"), "nodes")
     likely = work.save(links(work, nodes, radius, levels, banded=True), "likely")
-    sure = likely.where(f"apart <= {levels[0]}").select("a", "b")
     groups = work.save(components(work, likely), "groups")
     members = groups.join(nodes, groups["node"] == nodes["id"]).select(F.lit(0).alias("kind"), F.col("component").alias("key"), "id", "n")
-    found = components(Work(df.sparkSession, "neardup"), sure.unionByName(confirmed(work, df, members, id_col, text_col, shingle, similarity)))
+    found = components(Work(df.sparkSession, "neardup"), confirmed(work, df, members, id_col, text_col, shingle, similarity))
     lost = work.save(found.where("node != component").select(F.col("node").alias("id")), "lost")
     stay = work.save(nodes.select("id").join(lost, "id", "left_anti"), "stay")
     empty = prints.where("n = 0 AND id IS NOT NULL").select("id").distinct()
