@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -84,10 +84,16 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, U64).view(np.int64))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide: int = 0, once: bool = False) -> DataFrame:
-    """id, fp (64 bits as a long), n (shingles) and w (wide: that many further longs) for each row.
+def heads_of(hashes: np.ndarray, least: float) -> np.ndarray:
+    """The first of some sorted hashes: of two sets of Jaccard similarity least or more, these have one in common."""
+    return hashes[: len(hashes) - ceil(least * len(hashes) - 1e-9) + 1]
 
-    once: a shingle that repeats in a text counts once.
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, wide: int = 0, once: bool = False, least: float = 0.0) -> DataFrame:
+    """id, fp (64 bits as a long), n (shingles), w (wide: that many further longs) and heads for each row.
+
+    once: a shingle that repeats in a text counts once. least (with once): heads are the smallest hashes of a text that has
+    no more than SHORT / least shingles, so many that two such texts of that Jaccard similarity share one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,19 +101,21 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = as_bytes(b.column(1))
             at = 0
             while at < len(texts):  # a few MB of hashes at a time
-                parts, total, start = [], 0, at
+                parts, heads, total, start = [], [], 0, at
                 while at < len(texts) and total < 1_000_000:
                     found = np.array(shingle_hashes(texts[at], shingle), U64)
                     parts.append(np.unique(found) if once else found)
-                    total, at = total + len(parts[-1]), at + 1
+                    n = len(parts[-1])
+                    heads.append(heads_of(parts[-1], least).view(np.int64) if least and 0 < n <= SHORT / least else parts[-1][:0].view(np.int64))
+                    total, at = total + n, at + 1
                 sizes, hashes = np.array([len(p) for p in parts]), np.concatenate(parts)
                 with np.errstate(over="ignore"):
                     more = [majority(mixed(hashes, k + 1), sizes) for k in range(wide)]
                 flat = np.stack(more, 1).reshape(-1) if wide else np.zeros(0, U64)
                 w = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * wide, pa.int32()), signed(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, at - start), signed(majority(hashes, sizes)), pa.array(sizes.astype(np.int64)), w], names=["id", "fp", "n", "w"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, at - start), signed(majority(hashes, sizes)), pa.array(sizes.astype(np.int64)), w, pa.array(heads, pa.list_(pa.int64()))], names=["id", "fp", "n", "w", "heads"])
 
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "id long, fp long, n long, w array<long>")
+    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "id long, fp long, n long, w array<long>, heads array<long>")
 
 
 # --- parts and thresholds ---------------------------------------------------------------------------
@@ -473,6 +481,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 #: Rows and shingles in a block of a group whose pairs are verified; members of groups that go to all tasks at once.
 GROUP_ROWS, GROUP_SHINGLES, FEW = 2_048, 1_000_000, 1_000_000
+#: Shingles of a text up to which its near-copies are found by shared shingles too: ties make its bits differ more often.
+SHORT = 32
 
 
 def alike(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
@@ -549,18 +559,21 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     within radius and their wide fingerprints (64 * wide further bits) within levels[-1]. For sets of shingles of
     Jaccard similarity s a bit differs with probability acos(2 s / (1 + s)) / pi, 0.15 at 0.8: these radii lie two and
     three standard deviations above that. Groups that candidates connect are then compared from the texts, each pair that
-    confirmed links don't join already; only texts of equal fingerprints, wide ones too, are near-copies without
-    that look. Texts without words are left alone, and so
+    confirmed links don't join already, and so are texts of up to SHORT / similarity shingles that share one of their
+    smallest hashes (heads_of), by which no pair with a text of at most SHORT shingles is missed. Only texts of equal
+    fingerprints, wide ones too, are near-copies without that look. Texts without words are left alone, and so
     are rows without an id; rows that share an id stay or go together, but of equal rows one stays.
     """
     work = Work(df.sparkSession, "neardup")
-    keyed = fingerprints(df, id_col, text_col, shingle, wide, once=True)
-    prints = work.save(keyed.select("id", "fp", "w", "n"), "prints")
-    nodes = prints.where("n > 0 AND id IS NOT NULL").groupBy("fp", "w").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    nodes = work.save(nodes.select("id", "fp", "w", F.floor(F.log(ratio, F.col("n"))).cast("long").alias("band"), "n"), "nodes")
+    keyed = fingerprints(df, id_col, text_col, shingle, wide, once=True, least=similarity)
+    prints = work.save(keyed.select("id", "fp", "w", "n", "heads"), "prints")
+    nodes = prints.where("n > 0 AND id IS NOT NULL").groupBy("fp", "w").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("heads").alias("heads"))
+    nodes = work.save(nodes.select("id", "fp", "w", F.floor(F.log(ratio, F.col("n"))).cast("long").alias("band"), "n", "heads"), "nodes")
     likely = work.save(links(work, nodes, radius, levels, banded=True), "likely")
     groups = work.save(components(work, likely), "groups")
     members = groups.join(nodes, groups["node"] == nodes["id"]).select(F.lit(0).alias("kind"), F.col("component").alias("key"), "id", "n")
+    short = nodes.select(F.lit(1).alias("kind"), F.explode("heads").alias("key"), "id", "n")
+    members = members.unionByName(short)
     found = components(Work(df.sparkSession, "neardup"), confirmed(work, df, members, id_col, text_col, shingle, similarity))
     lost = work.save(found.where("node != component").select(F.col("node").alias("id")), "lost")
     stay = work.save(nodes.select("id").join(lost, "id", "left_anti"), "stay")

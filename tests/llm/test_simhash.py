@@ -190,3 +190,30 @@ def test_near_dedup_misses_none_of_a_star_group(star):
 def test_near_dedup_drops_none_of_a_star_group_wrongly(star):
     got, want = star
     assert want <= got
+
+
+def test_near_dedup_short_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):  # 4 of 5 shingles
+        w = docs.words(rng, 9, "abcdefghijklmnop")
+        rows += [(2 * i, " ".join(w[:8])), (2 * i + 1, " ".join(w))]
+    for i in range(60):  # one shingle that many share
+        rows.append((1000 + i, " ".join(["the", "same", "five", "words", "here", *docs.words(rng, 3 + i % 9)])))
+    root = grouped(sets_of(rows))
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 20, raising=False)
+    got = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i in root if root[i] == i}
+
+
+def test_heads_share_a_shingle():
+    rng = np.random.default_rng(3)
+    for n in range(1, simhash.SHORT + 1):
+        for m in range(n, int(n / 0.8) + 1):
+            common = int(np.ceil(0.8 * (n + m) / 1.8 - 1e-9))
+            if common > n:
+                continue
+            for _ in range(20):
+                x = rng.choice(10**6, n + m - common, replace=False)
+                a, b = np.sort(x[:n]), np.sort(np.r_[x[:common], x[n:]])
+                assert set(simhash.heads_of(a, 0.8)) & set(simhash.heads_of(b, 0.8))
