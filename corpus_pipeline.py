@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies (five-word shingles, similarity 0.8 or more)."""
-    return simhash.near_dedup(docs.select(*COLUMNS)).select(*COLUMNS)
+    """One document of each group of near-copies (five-word shingles, similarity 0.8 or more); texts without words are one."""
+    return simhash.near_dedup(docs.select(*COLUMNS), one_blank=True).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

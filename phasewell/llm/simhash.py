@@ -552,7 +552,7 @@ def confirmed(work: Work, df: DataFrame, members: DataFrame, id_col: str, text_c
     return dealt.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 15, wide: int = 4, levels: tuple[int, ...] = (22, 40, 56), ratio: float = 1.25) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 15, wide: int = 4, levels: tuple[int, ...] = (22, 40, 56), ratio: float = 1.25, one_blank: bool = False) -> DataFrame:
     """The rows of df less near-copies: of each group the row of the smallest id stays (all columns).
 
     Candidates are texts whose numbers of different shingles lie within about ratio, their 64-bit fingerprints
@@ -561,8 +561,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     three standard deviations above that. Groups that candidates connect are then compared from the texts, each pair that
     confirmed links don't join already, and so are texts of up to SHORT / similarity shingles that share one of their
     smallest hashes (heads_of), by which no pair with a text of at most SHORT shingles is missed. Only texts of equal
-    fingerprints, wide ones too, are near-copies without that look. Texts without words are left alone, and so
-    are rows without an id; rows that share an id stay or go together, but of equal rows one stays.
+    fingerprints, wide ones too, are near-copies without that look. Texts without words are left alone
+    (one_blank: they are copies of each other, and the smallest id stays), and so are rows without an id; rows that
+    share an id stay or go together, but of equal rows one stays.
     """
     work = Work(df.sparkSession, "neardup")
     keyed = fingerprints(df, id_col, text_col, shingle, wide, once=True, least=similarity)
@@ -578,6 +579,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     lost = work.save(found.where("node != component").select(F.col("node").alias("id")), "lost")
     stay = work.save(nodes.select("id").join(lost, "id", "left_anti"), "stay")
     empty = prints.where("n = 0 AND id IS NOT NULL").select("id").distinct()
+    if one_blank:
+        empty = empty.agg(F.min("id").alias("id")).where("id IS NOT NULL")
     keep = work.save(stay.unionByName(empty), "keep")
     named = df.join(keep, df[id_col].cast("long") == keep["id"], "left_semi")
     one = named.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))))

@@ -54,3 +54,9 @@ def test_run_and_odd_rows(spark, tmp_path):
     assert pipe.run(spark, str(tmp_path)).count() > 0
     docs.empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert pipe.run(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_near_dedup_keeps_one_text_without_words(spark):
+    rows = [(7, "", "en", "s", 0), (3, None, "en", "s", None), (5, " \n", "en", "s", 2), (9, "", "de", "t", 0), (4, "some words", "en", "s", 10), (None, "", "en", "s", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in pipe.near_dedup(spark, table, SF).collect()} == {3, 4, None}
