@@ -1,6 +1,9 @@
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from phasewell.llm import quality
 
 from . import docs
@@ -34,7 +37,25 @@ def test_cascade_keeps_the_same(spark):
 def test_order_by_rejections_per_cost(spark):
     order = quality.ordered(docs.table(spark))
     gain = [hits / seconds for _, seconds, hits in order]
-    assert gain == sorted(gain, reverse=True) and {r.name for r, _, _ in order} == {r.name for r in quality.RULES}
+    assert gain[0] == max(gain) and {r.name for r, _, _ in order} == {r.name for r in quality.RULES}
+    failing = sum(not brute(r[1])[-1] for r in docs.rows())
+    assert sum(hits for _, _, hits in order) == failing  # each of the sample (here the table) once, by the first that rejects it
+
+
+def test_rejected_texts_meet_no_later_rule(spark):
+    raises = quality.Rule("raises", lambda t, w: F.raise_error(F.lit("evaluated")).cast("boolean"))
+    rest = quality.Rule("all", lambda t, w: F.length(t) >= 0)
+    judged = docs.table(spark).select(quality.verdict(quality.text_of("text"), [rest, raises]).alias("r"))
+    assert {r.r for r in judged.collect()} == {"all"}
+    with pytest.raises(Exception, match="evaluated"):
+        docs.table(spark).select(quality.verdict(quality.text_of("text"), [raises, rest]).alias("r")).collect()
+
+
+def test_clashing_names(spark):
+    given = docs.table(spark).select("*", *[F.lit(7).alias(c) for c in ("t", "w", "m", "k", "_words", "failed_rule", "a.b")])
+    got = quality.apply_rules(given)
+    assert got.columns == [*[c for c in given.columns if c != "failed_rule"], "failed_rule"]
+    assert {(r.t, r.w, r._words, r["a.b"]) for r in got.collect()} == {(7, 7, 7, 7)} and got.count() == len(docs.rows())
 
 
 def test_native_and_empty(spark):
