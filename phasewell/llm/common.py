@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch, so that a batch of long texts fits a Python worker.
-ARROW_ROWS = 512
+#: Parameters: rows and bytes at most in one Arrow batch, so that a batch of long texts fits a Python worker.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,12 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Work:
-    """Tables of one operator call, written as Parquet in the shared folder; they outlive lost executors."""
+    """Tables of one operator call, written as Parquet in the shared folder; they outlive lost executors.
+
+    A lazy result reads them, so they stay until release() or the end of the driver.
+    """
+
+    left: list[Work] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        Work.left.append(self)
+        batched(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -50,9 +57,23 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def release(since: int = 0) -> None:
+    """Deletes the tables of all operator calls but the first since ones; results that read them must be written by then."""
+    while len(Work.left) > since:
+        work = Work.left.pop()
+        if work.spark.sparkContext._jsc is not None:
+            delete(work.spark, work.root)
+
+
+atexit.register(release)
+
+
 def batched(spark: SparkSession) -> None:
-    """Sets the Arrow batch size for operators that keep no tables."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds Arrow batches by rows and bytes; results are lazy, so the session keeps the setting. A tighter one stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -63,7 +84,3 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Partitions so that each task holds about rows_per_task rows, and no fewer than the session's own number."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task), 1)
-
-
-def with_column_order(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*[df[f"`{n}`"] for n in names])

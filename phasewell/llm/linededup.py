@@ -1,38 +1,45 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet folder of (h1, h2, n), sorted by (h1, h2): 128-bit line hashes with the number of documents
-that hold the line. Each batch of documents adds one run at level 0: its own counts, merge-anti-joined with
-the lines already known to be common, whose further counts would change nothing. When FANOUT runs stand at a
-level they are merged into one of the next. A run's name tells its level and the batches it covers, so a merge
-that was cut short leaves nothing that counts twice. Finally lines whose count reaches the limit are
-dropped from every document: by a broadcast of their hashes while there are at most BROADCAST_KEYS, else by
-joining line hashes with the runs and each document's dropped positions with the document.
+A run is a bucketed and sorted Parquet table of (h1, h2, n): 128-bit line hashes with the number of documents that hold
+the line. All runs of a folder have the same buckets, so they meet each other by merge joins without a shuffle. Each
+batch of documents adds one run at level 0: its own counts, merge-anti-joined with each run's lines that are common
+already, whose further counts would change nothing. When FANOUT runs stand at a level they are merged into one of the
+next (a full outer merge join that adds counts). A run's name tells its level, the batches it covers and its buckets,
+so a merge that was cut short leaves nothing that counts twice. Finally lines whose count over all runs reaches the
+limit are dropped from every document: by a broadcast of their hashes while there are at most BROADCAST_KEYS, else by
+joining line hashes with them and each document's dropped positions with the document.
 
 Edge cases. A null or empty text is one empty line; blank lines are never common. A document is a row,
 whatever its id, and counts a line once. Repeated rows are documents of their own. An empty table gives an
-empty result. Whole texts are read; other columns are kept.
+empty result. Whole texts are read; other columns are kept, but for ones named n_lines or n_dropped, which the
+counts replace.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, as_bytes, delete, hadoop
+from .common import Work, as_bytes, delete, hadoop, tasks_for
 
 #: Parameters: documents that make a line common; runs of a level before they merge; batches that a
-#: whole table is dealt into; keys (16 bytes each) up to which the common lines are broadcast;
-#: lines a task counts before it passes them on; salts of the join beyond the broadcast.
+#: whole table is dealt into (by source partition); lines in a bucket of a run; keys (16 bytes, some 100 in a worker's
+#: set) up to which the common lines are broadcast; lines a task counts before it passes them on; salts of the join
+#: beyond the broadcast.
 MIN_DOCS = 10
 FANOUT = 2
 BATCHES = 3
-BROADCAST_KEYS = 1_000_000
+BUCKET_ROWS = 2_000_000
+BROADCAST_KEYS = 250_000
 COUNTED = 400_000
 SALTS = 16
 
@@ -56,26 +63,28 @@ def as_longs(keys: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 
 def line_counts(texts: DataFrame, batches: int = 1) -> DataFrame:
-    """(batch, h1, h2, n) of the first column's lines: documents that hold each, summed within a task."""
+    """(batch, h1, h2, n) of the first column's lines: documents that hold each, summed within a task.
+
+    A source partition belongs to one batch.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[dict[bytes, int]] = [{} for _ in range(batches)]
+        counts: dict[bytes, int] = {}
+        batch = TaskContext.get().partitionId() % batches
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for k, counts in enumerate(seen):
-                if counts:
-                    h1, h2 = as_longs(list(counts))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), k, np.int32)), h1, h2, pa.array(list(counts.values()), pa.int64())], names=["batch", "h1", "h2", "n"])
-                    counts.clear()
+            if counts:
+                h1, h2 = as_longs(list(counts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), batch, np.int32)), h1, h2, pa.array(list(counts.values()), pa.int64())], names=["batch", "h1", "h2", "n"])
+                counts.clear()
 
         for b in parts:
             for text in as_bytes(b.column(0)):
                 keys = set(keys_of(text))
                 keys.discard(b"")
-                counts = seen[len(text or b"") % batches]
                 for k in keys:
                     counts[k] = counts.get(k, 0) + 1
-            if sum(map(len, seen)) > COUNTED:
+            if len(counts) > COUNTED:
                 yield from emit()
         yield from emit()
 
@@ -85,47 +94,65 @@ def line_counts(texts: DataFrame, batches: int = 1) -> DataFrame:
 class LineRuns:
     """The levelled runs in one folder; they can be reopened and extended by later batches."""
 
-    def __init__(self, spark, path: str, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+    SCHEMA = "h1 BIGINT, h2 BIGINT, n BIGINT"
+    KEY = ["h1", "h2"]
+
+    def __init__(self, spark, path: str, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.path, self.min_docs, self.fanout = spark, path, min_docs, fanout
+        self.buckets = next((r[3] for r in self.runs()), buckets or tasks_for(spark, 0, 1))
 
-    def runs(self) -> list[tuple[int, int, int]]:
-        """(level, first batch, last batch) of each complete run that no merged run covers."""
+    def runs(self) -> list[tuple[int, int, int, int]]:
+        """(level, first batch, last batch, buckets) of each complete run that no merged run covers."""
         fs, p = hadoop(self.spark, self.path)
         found = []
         for s in fs.listStatus(p) if fs.exists(p) else ():
-            m = re.fullmatch(r"run-(\d+)-(\d+)-(\d+)", s.getPath().getName())
+            m = re.fullmatch(r"run-(\d+)-(\d+)-(\d+)-(\d+)", s.getPath().getName())
             if m and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
                 found.append(tuple(map(int, m.groups())))
         return sorted(r for r in found if not any(o != r and o[0] > r[0] and o[1] <= r[1] and r[2] <= o[2] for o in found))
 
     def name(self, run) -> str:
-        return f"{self.path}/run-{run[0]}-{run[1]}-{run[2]}"
+        return f"{self.path}/run-{'-'.join(map(str, run))}"
 
-    def read(self, runs) -> DataFrame:
-        schema = "h1 long, h2 long, n long"
-        return self.spark.read.schema(schema).parquet(*map(self.name, runs)) if runs else self.spark.createDataFrame([], schema)
+    def table(self, run) -> str:
+        """The name under which the session's catalog knows a run's files; whoever opens a folder names its runs anew."""
+        return f"line_run_{hashlib.md5(self.name(run).encode()).hexdigest()}"
+
+    def read(self, run) -> DataFrame:
+        name, place = self.table(run), self.name(run).replace("'", "\\'")
+        if not self.spark.catalog.tableExists(name):
+            key = ", ".join(self.KEY)
+            self.spark.sql(f"CREATE TABLE {name} ({self.SCHEMA}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {run[3]} BUCKETS LOCATION '{place}'")
+        return self.spark.table(name)
 
     def write(self, df: DataFrame, run) -> None:
-        spread = df.groupBy("h1", "h2").agg(F.sum("n").alias("n"))  # leaves rows dealt by (h1, h2)
-        spread.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(self.name(run))
+        """df is dealt by the key into as many partitions as a run has buckets, so each task writes one sorted file."""
+        df.write.bucketBy(self.buckets, *self.KEY).sortBy(*self.KEY).option("path", self.name(run)).mode("overwrite").saveAsTable(self.table(run))
+
+    def remove(self, run) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table(run)}")
+        delete(self.spark, self.name(run))
+
+    def merged(self, runs) -> DataFrame:
+        """Several runs as one: merge joins of sorted, equally bucketed tables that add the counts."""
+        sum_of = lambda a, b: F.coalesce(a["n"], F.lit(0)) + F.coalesce(b["n"], F.lit(0))
+        both = lambda a, b: a.hint("merge").join(b.hint("merge"), (a["h1"] == b["h1"]) & (a["h2"] == b["h2"]), "full").select(*[F.coalesce(a[c], b[c]).alias(c) for c in self.KEY], sum_of(a, b).alias("n"))
+        return reduce(both, map(self.read, runs)) if runs else self.spark.createDataFrame([], self.SCHEMA)
 
     def common(self) -> DataFrame:
         """(h1, h2) of the lines whose count over all runs has reached the limit."""
-        runs = self.runs()
-        known = self.read(runs)
-        if len(runs) > 1:
-            known = known.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        return known.where(F.col("n") >= self.min_docs).select("h1", "h2")
+        return self.merged(self.runs()).where(F.col("n") >= self.min_docs).select(*self.KEY)
+
+    def fresh(self, counts: DataFrame) -> DataFrame:
+        """A batch's counts, (h1, h2, n) rows of any number a line, less lines that one of the runs knows as common."""
+        new = counts.select("h1", "h2", "n").repartition(self.buckets, *self.KEY).groupBy(*self.KEY).agg(F.sum("n").alias("n"))
+        known = [self.read(r).where(F.col("n") >= self.min_docs).select(*self.KEY) for r in self.runs()]
+        return reduce(lambda left, right: left.hint("merge").join(right.hint("merge"), self.KEY, "left_anti"), known, new)
 
     def add(self, counts: DataFrame) -> None:
-        """One batch: (h1, h2, n) rows, any number a line."""
-        runs = self.runs()
-        batch = 1 + max((r[2] for r in runs), default=-1)
-        fresh = counts.select("h1", "h2", "n")
-        if runs:  # lines known as common within a single run need no further counting
-            known = self.read(runs).where(F.col("n") >= self.min_docs)
-            fresh = fresh.groupBy("h1", "h2").agg(F.sum("n").alias("n")).join(known, ["h1", "h2"], "left_anti")
-        self.write(fresh, (0, batch, batch))
+        """One batch."""
+        batch = 1 + max((r[2] for r in self.runs()), default=-1)
+        self.write(self.fresh(counts), (0, batch, batch, self.buckets))
         self.merge()
 
     def merge(self) -> None:
@@ -133,23 +160,31 @@ class LineRuns:
         while level <= max((r[0] for r in self.runs()), default=-1):
             at = [r for r in self.runs() if r[0] == level]
             if len(at) >= self.fanout:
-                self.write(self.read(at), (level + 1, at[0][1], at[-1][2]))
+                self.write(self.merged(at), (level + 1, at[0][1], at[-1][2], self.buckets))
                 for r in at:
-                    delete(self.spark, self.name(r))
+                    self.remove(r)
             level += 1
 
+    def close(self) -> None:
+        """Forgets the runs' names; their files stay."""
+        for r in self.runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table(r)}")
+
 
 def common_lines(work: Work, df: DataFrame, text_col: str, min_docs: int) -> DataFrame:
     """(h1, h2) of lines that stand in at least min_docs rows of df."""
-    counts = line_counts(df.select(F.col(text_col).cast("string")), BATCHES)
+    counts = line_counts(df.select(F.col(f"`{text_col}`").cast("string")), BATCHES)
     path = work.path("counts")
     counts.write.partitionBy("batch").parquet(path)
     dealt = work.spark.read.schema("h1 long, h2 long, n long, batch int").parquet(path)
-    runs = LineRuns(work.spark, work.path("runs"), min_docs)
+    runs = LineRuns(work.spark, work.path("runs"), min_docs, buckets=tasks_for(work.spark, dealt.count(), BUCKET_ROWS))
     for k in range(BATCHES):
         runs.add(dealt.where(F.col("batch") == k))
-    delete(work.spark, path)
-    return runs.common()
+    hot = work.save(runs.common(), "hot")
+    runs.close()
+    for done in ("counts", "runs"):
+        work.drop(done)
+    return hot
 
 
 def kept_text(text: bytes | None, dropped: set[int]) -> str:
@@ -161,7 +196,8 @@ def drop_common_lines(df: DataFrame, text_col: str = "text", min_docs: int = MIN
     """df's columns (texts less common lines), then n_lines and n_dropped, the numbers of lines before and dropped."""
     spark = df.sparkSession
     work = Work(spark, "lines")
-    hot = work.save(common_lines(work, df, text_col, min_docs), "hot")
+    hot = common_lines(work, df, text_col, min_docs)
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_lines", "n_dropped")])
     rest = [c for c in df.columns if c != text_col]
     struct = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.lit(0).alias("pad"))
     body = df.select(struct.alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"))
