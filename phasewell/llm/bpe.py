@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from .common import batched
 
 #: Parameters: pairs remembered, and pieces remembered in each of two generations.
-PAIRS = 1_000_000
-REMEMBERED = 500_000
+PAIRS = 500_000
+REMEMBERED = 100_000
 NEVER = 1 << 40
 #: Letters below this are old enough to be letters to every Unicode version.
 SETTLED = "\u0530"
@@ -185,6 +185,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = public_tokenizers.PATTERN):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
+        self.short = pattern == public_tokenizers.PATTERN  # the shortcuts below hold for this pattern
         self.first, self.later = Remembered(self.cut), Remembered(self.cut, " ")
         self.newline = self.cut("\n")
         self.marks = {m: self.cut(m) for m in MARKS}
@@ -197,16 +198,18 @@ class Encoder:
 
     def cut(self, text: str) -> bytes:
         bare = text[1:] if text[0] == " " else text
-        if bare.isalpha() and max(bare) < SETTLED:  # one piece; the pattern agrees
+        if not self.short:
+            pass
+        elif bare.isalpha() and max(bare) < SETTLED:  # one piece; the pattern agrees
             return b"".join([i.to_bytes(4, "little") for i in self.piece(text.encode())])
-        if bare[-1:] in MARKS and bare[:-1].isalpha() and max(bare) < SETTLED:  # two: a word and a mark
+        elif bare[-1:] in MARKS and bare[:-1].isalpha() and max(bare) < SETTLED:  # two: a word and a mark
             word = (self.later if text[0] == " " else self.first).known(bare[:-1])
             return (self.cut(text[:-1]) if word is None else word) + self.marks[bare[-1]]
-        return np.array([i for p in self.pattern.findall(text) for i in self.piece(p.encode())], "<u4").tobytes()
+        return np.array([i for p in self.pattern.finditer(text) for i in self.piece(p[0].encode())], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+        if not text or not self.short:
+            return self.cut(text) if text else b""
         try:
             return joined(text, self.first, self.later, self.newline)
         except Unsafe:

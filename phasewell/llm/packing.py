@@ -13,6 +13,7 @@ ignored. Whole texts are packed; each id lies in exactly one piece.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -46,6 +47,10 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        #: The shortcuts below hold for plain byte-level tokenizers; others get every text whole.
+        self.short = not made["normalizer"] and not made["post_processor"] and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and all("<|" in t["content"] and "|>" in t["content"] for t in made["added_tokens"])
         self.first, self.later = Remembered(self.chunk), Remembered(self.chunk, " ")
         self.newline = self.whole("\n")
 
@@ -68,8 +73,8 @@ class Tokens:
         return self.whole(chunk)
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
+        if not text or not self.short:
+            return self.whole(text) if text else b""
         try:
             return joined(text, self.first, self.later, self.newline)
         except Unsafe:
@@ -192,7 +197,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
         return run
 
-    source = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    source = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     names = Rows.NAMES[:7]
     out, round_no = work.save(source.mapInArrow(first, Rows.SCHEMA), "pieces-0"), 0
     done = out.where("open IS NULL").select(*names)

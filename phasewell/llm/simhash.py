@@ -39,7 +39,7 @@ from .components import components
 #: a task; the widest part in bits, which bounds the counts that reach the driver.
 BLOCK = 65_536
 PROBE_COST, PAIR_COST = 1.5e-5, 2e-9
-TASK_ROWS = 250_000
+TASK_ROWS = 100_000
 WIDEST = 16
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -115,7 +115,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 w = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * wide, pa.int32()), signed(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, at - start), signed(majority(hashes, sizes)), pa.array(sizes.astype(np.int64)), w, pa.array(heads, pa.list_(pa.int64()))], names=["id", "fp", "n", "w", "heads"])
 
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "id long, fp long, n long, w array<long>, heads array<long>")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "id long, fp long, n long, w array<long>, heads array<long>")
 
 
 # --- parts and thresholds ---------------------------------------------------------------------------
@@ -543,7 +543,7 @@ def confirmed(work: Work, df: DataFrame, members: DataFrame, id_col: str, text_c
         if len(ids) > 1:
             yield found()
 
-    texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("t"))
+    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     rows = texts.join(F.broadcast(held) if number <= FEW else held, "id").distinct()
     slot, cell = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), ["kind", "key", "low", "high"]
     dealt = rows.withColumn("slot", slot).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 OR other != slot")
@@ -575,13 +575,24 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     members = groups.join(nodes, groups["node"] == nodes["id"]).select(F.lit(0).alias("kind"), F.col("component").alias("key"), "id", "n")
     short = nodes.select(F.lit(1).alias("kind"), F.explode("heads").alias("key"), "id", "n")
     members = members.unionByName(short)
-    found = components(Work(df.sparkSession, "neardup"), confirmed(work, df, members, id_col, text_col, shingle, similarity))
+    found = components(work, confirmed(work, df, members, id_col, text_col, shingle, similarity))
     lost = work.save(found.where("node != component").select(F.col("node").alias("id")), "lost")
     stay = work.save(nodes.select("id").join(lost, "id", "left_anti"), "stay")
     empty = prints.where("n = 0 AND id IS NOT NULL").select("id").distinct()
     if one_blank:
         empty = empty.agg(F.min("id").alias("id")).where("id IS NOT NULL")
     keep = work.save(stay.unionByName(empty), "keep")
-    named = df.join(keep, df[id_col].cast("long") == keep["id"], "left_semi")
-    one = named.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))))
-    return one.where("_rank = 1").drop("_rank").unionByName(df.where(F.col(id_col).isNull()))
+    twice = prints.where("id IS NOT NULL").groupBy("id", "fp").count().where("count > 1").select("id").distinct()
+    twice = work.save(twice, "twice")  # ids that equal rows may share; few as a rule
+    for done in ("prints", "nodes", "likely", "groups", "stay", "lost"):
+        work.drop(done)
+    columns = [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)]
+    inside = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    named = inside.join(keep, "id", "left_semi")
+    if twice.isEmpty():
+        out = named.select(*columns)
+    else:  # only rows of such ids are dealt out to find equal ones
+        rank = F.row_number().over(Window.partitionBy("id", F.xxhash64("t")).orderBy(F.lit(0)))
+        once = named.join(twice, "id", "left_semi").withColumn("rank", rank).where("rank = 1")
+        out = named.join(twice, "id", "left_anti").select(*columns).unionByName(once.select(*columns))
+    return out.unionByName(inside.where("id IS NULL").select(*columns))

@@ -80,3 +80,10 @@ def test_bounded_memory(enc):
     for c in "defgh":
         r[c]
     assert len(r) <= 3 and len(r.old) <= 3 and seen == list("abcdefgh")
+
+
+def test_another_pattern_takes_no_shortcut(enc):
+    pattern = r"\p{L}|[^\p{L}]+"
+    other, want = bpe.Encoder(enc.vocabulary, pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=enc.vocabulary.ranks, special_tokens={})
+    for t in ("one two, three", " lead\n\nand more", ""):
+        assert ids(other.encode(t)) == want.encode_ordinary(t)

@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import defaultdict
 
@@ -76,3 +77,14 @@ def test_best_fit_and_powers():
     assert [(d, s, len(i) // 4) for d, s, i, _ in out[-2]] == [(3, 0, 7), (9, 0, 1)]
     cut = list(packing.powers([7, [(0, 0, doc(5), 5), (1, 3, doc(2), 9)]]))
     assert [sum(len(i) // 4 for _, _, i, _ in s) for s in cut] == [4, 2, 1]
+
+
+def test_tokenizer_with_a_prefix_space_takes_no_shortcut(tmp_path):
+    t = Tokenizer.from_file(queries.TOKENIZER)
+    changed = json.loads(t.to_str())
+    changed["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(changed))
+    mine, want = packing.Tokens(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not mine.short
+    for x in ("one two three", "word.", ""):
+        assert np.frombuffer(mine.ids(x), "<u4").tolist() == want.encode(x, add_special_tokens=False).ids

@@ -217,3 +217,31 @@ def test_heads_share_a_shingle():
                 x = rng.choice(10**6, n + m - common, replace=False)
                 a, b = np.sort(x[:n]), np.sort(np.r_[x[:common], x[n:]])
                 assert set(simhash.heads_of(a, 0.8)) & set(simhash.heads_of(b, 0.8))
+
+
+def test_near_dedup_clashing_names_and_equal_rows(spark):
+    given = docs.table(spark).selectExpr("*", "7 AS `a.b`", "7 AS _rank", "7 AS rank", "7 AS t", "7 AS fp", "7 AS n")
+    got = simhash.near_dedup(given)
+    assert got.columns == given.columns
+    kept = [r.doc_id for r in got.collect()]
+    again = [r.doc_id for r in simhash.near_dedup(docs.table(spark)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, again)) and len({k for k in kept if k is not None}) == len([k for k in kept if k is not None])
+    assert {(r["a.b"], r.rank, r.fp) for r in got.collect()} == {(7, 7, 7)}
+
+
+def test_near_dedup_small_groups_against_all_pairs(spark):
+    """150 groups of 8 copies of a 300-word text with up to 6 edits each: nothing is dropped wrongly, and what is missed lies beyond the radii."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(150):
+        base = docs.words(rng, 300)
+        for _ in range(8):
+            w = base.copy()
+            for k in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = f"edit{g}x{len(rows)}x{k}"
+            rows.append((len(rows), " ".join(w)))
+    sets = sets_of(rows)
+    root = {i: r for g in range(150) for i, r in grouped({i: sets[i] for i in range(8 * g, 8 * g + 8)}).items()}
+    want = {i for i in root if root[i] == i}
+    got = {r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= got and len(got - want) <= 0.01 * (len(rows) - len(want))
