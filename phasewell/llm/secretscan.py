@@ -1,16 +1,17 @@
 """Secret scan in DataFrame functions: three base patterns and a battery of randomness tests.
 
-Base kinds are found by pattern, leftmost and without overlap, and filtered by length afterwards. Further
-candidates are runs of [A-Za-z0-9+/_=-] of MIN_CANDIDATE or more characters with a digit and a letter. From its
-alphabet a candidate's encoding is inferred (hex, base32, base64); three tests ask how unlikely natural
-text of its length would be as random as it is: chi-squared uniformity over the alphabet, the number of
-runs of character classes, and the serial correlation of codes. Their scores are summed (Stouffer) to a
-p-value, counted over the whole table in bins of a tenth of a decade by length class, and within each class
-cut by the Benjamini-Hochberg rule at RATE (false-discovery control that knows length).
+Base kinds are found by pattern, leftmost and without overlap, and filtered by length afterwards. Further candidates
+are all runs of [A-Za-z0-9+/_=-] of LENGTHS[0] or more characters. From its alphabet a candidate's encoding is inferred
+(hex, base32, base64); three tests, each with that encoding's own figures, ask how unlikely natural text of its length
+would be as random as it is: chi-squared uniformity over the alphabet, the number of runs of character classes, and the
+serial correlation of places in the alphabet. The sum of the three, over its spread in natural text (the tests aren't
+independent), gives a p-value, counted over the whole table in bins of a tenth of a decade by length class, and within
+each class cut by the Benjamini-Hochberg rule at RATE (false-discovery control that knows length).
 
 Positions are code points, from 0, end exclusive. Edge cases. A null text is empty and has no spans.
 Equal spans of several kinds are all reported. Repeated rows are scanned each for themselves; an empty
-table gives an empty result. Whole texts are scanned, whatever their length.
+table gives an empty result; spans returns the columns asked for, whatever other names there are. Whole texts are
+scanned, whatever their length.
 """
 
 from __future__ import annotations
@@ -29,13 +30,20 @@ KINDS = (
     ("hex", "[0-9a-f]{24,}", "[0-9a-f]{24}", 0, 24),
 )
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-#: Parameters: false-discovery rate; length classes; what natural text looks like: excess of the chi-squared sum per
-#: character by encoding, chance that neighbours differ in class, correlation of neighbours.
-RATE = 0.001
+#: Parameters: false-discovery rate; length classes; what natural text looks like in each encoding (decimal numbers and
+#: a-f words for hex, upper-case words for base32, slugs, paths and camel case for base64): excess of the chi-squared sum
+#: per character, chance that neighbours differ in class, correlation of neighbours, how far both vary from text to text,
+#: and the spread of the tests' sum above its mean. tests/llm checks the p-values on such texts.
+RATE = 0.01
 LENGTHS = (20, 32, 48, 96)
-EXCESS = {16: 0.6, 32: 1.2, 64: 2.2}
-CLASS_CHANGE = 0.2
-CORRELATION = 0.35
+EXCESS = {16: 0.6, 32: 1.2, 64: 2.4}
+CLASS_CHANGE = {16: 0.1, 32: 0.1, 64: 0.3}
+CLASS_STYLE = {16: 0.05, 32: 0.05, 64: 0.1}
+CORRELATION = {16: 0.1, 32: -0.05, 64: -0.08}
+CORRELATION_STYLE = {16: 0.05, 32: 0.05, 64: 0.25}
+SPREAD = {16: 1.4, 32: 1.6, 64: 1.9}
+#: The alphabets in order (base64 with both forms of its last two, then padding).
+ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567=", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="}
 BLOCK = 256
 BINS = 400
 
@@ -83,44 +91,53 @@ def alphabet(m: Column) -> Column:
     return F.when(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(16)).when(m.rlike("^[A-Z2-7]+=*$"), F.lit(32)).otherwise(F.lit(64))
 
 
-def excess(size: Column) -> Column:
-    return F.when(size == 16, F.lit(EXCESS[16])).when(size == 32, F.lit(EXCESS[32])).otherwise(F.lit(EXCESS[64]))
+def by_encoding(size: Column, figures: dict) -> Column:
+    return F.when(size == 16, F.lit(figures[16])).when(size == 32, F.lit(figures[32])).otherwise(F.lit(figures[64]))
 
 
-def uniformity(m: Column) -> Column:
+def uniformity(m: Column, size: Column) -> Column:
     """How far the chi-squared sum over the alphabet lies below that of natural text, in deviations."""
-    n, size = F.length(m).cast("double"), alphabet(m).cast("double")
+    n = F.length(m).cast("double")
     square = F.aggregate(F.array_distinct(F.split(m, "")), F.lit(0.0), lambda a, c: a + F.pow(F.length(m) - F.length(F.replace(m, c, F.lit(""))), 2.0))
-    far = n * excess(alphabet(m))
+    far = n * by_encoding(size, EXCESS)
     return (size - 1 + far - (square * size / n - n)) / F.sqrt(2 * (size - 1 + 2 * far))
 
 
-def runs(m: Column) -> Column:
+def runs(m: Column, size: Column) -> Column:
     """Changes of class between neighbours against natural text, in deviations."""
-    n = F.length(m).cast("double") - 1
+    n, natural = F.length(m).cast("double") - 1, by_encoding(size, CLASS_CHANGE)
     changes = F.regexp_count(m, F.lit("[a-z]+|[A-Z]+|[0-9]+|[+/_=-]+")) - 1
-    return (changes - n * CLASS_CHANGE) / F.sqrt(n * CLASS_CHANGE * (1 - CLASS_CHANGE))
+    return (changes / n - natural) / F.sqrt(natural * (1 - natural) / n + F.pow(by_encoding(size, CLASS_STYLE), 2.0))
 
 
-def correlation(m: Column) -> Column:
-    """How far the serial correlation of character codes lies below that of natural text, in deviations."""
+def correlation(m: Column, size: Column) -> Column:
+    """How far the serial correlation of places in the alphabet lies below that of natural text, in deviations; that of equal characters is 1."""
     n = F.length(m).cast("double")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 
     def of(codes: Column) -> Column:
         mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
         return bound(F.transform(codes, lambda x: x - mean), lambda d: F.coalesce(F.try_divide(dot(F.slice(d, 1, 1 << 30), F.slice(d, 2, 1 << 30)), dot(d, d)), F.lit(1.0)))
 
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    r = bound(F.transform(F.split(m, ""), lambda c: F.ascii(c).cast("double")), of)
-    return (CORRELATION - r) * F.sqrt(n) / (1 - CORRELATION**2) ** 0.5
+    letters = F.when(size == 16, F.lower(m)).otherwise(m)
+    r = bound(F.transform(F.split(letters, ""), lambda c: F.position(c, by_encoding(size, ALPHABETS)).cast("double")), of)
+    return (by_encoding(size, CORRELATION) - r) / F.sqrt(1 / n + F.pow(by_encoding(size, CORRELATION_STYLE), 2.0))
+
+
+def score(m: Column) -> Column:
+    """The battery's sum over its spread in natural text: near normal there, and large for random strings."""
+    return bound(alphabet(m), lambda size: (uniformity(m, size) + runs(m, size) + correlation(m, size)) / by_encoding(size, SPREAD))
 
 
 def p_bin(m: Column) -> Column:
     """Tenths of a decade of the combined p-value, rounded towards 1; -1 beyond 1/2."""
-    z = F.greatest(F.least((uniformity(m) + runs(m) + correlation(m)) / 3**0.5, F.lit(40.0)), F.lit(-1.0))
-    # exp(-0.717 z - 0.416 z^2) / 2 lies near the normal tail for z >= 0
-    decades = (0.717 * z + 0.416 * z * z) / 2.302585 + 0.30103
-    return F.when(z < 0, F.lit(-1)).otherwise(F.floor(decades * 10)).cast("int")
+
+    def of(z: Column) -> Column:
+        # exp(-0.717 z - 0.416 z^2) / 2 lies near the normal tail for z >= 0
+        decades = (0.717 * z + 0.416 * z * z) / 2.302585 + 0.30103
+        return F.when(z < 0, F.lit(-1)).otherwise(F.floor(decades * 10)).cast("int")
+
+    return bound(F.greatest(F.least(score(m), F.lit(40.0)), F.lit(-1.0)), of)
 
 
 def length_class(m: Column) -> Column:
@@ -132,8 +149,7 @@ def length_class(m: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """(s, e, c, b): spans to test, their length class and p-value's bin."""
-    worth = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")
-    spans = F.filter(cat(text, CANDIDATE, CANDIDATE[:-2] + "}", 0, LENGTHS[0]), worth)
+    spans = cat(text, CANDIDATE, CANDIDATE[:-2] + "}", 0, LENGTHS[0])
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), length_class(x["m"]).alias("c"), p_bin(x["m"]).alias("b")))
 
 

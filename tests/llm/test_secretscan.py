@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -69,5 +70,52 @@ def test_false_discoveries(spark):
     assert s.spans(docs.table(spark, hidden), ["doc_id"]).where(F.size("found") > 0).count() >= 285
 
 
+def natural(rng, size):
+    """A string that people write, in the alphabet of an encoding: numbers and a-f words, upper-case words, slugs, paths, camel case."""
+    some = ["".join(rng.choice("eeeeaaoottiinnssrrhhlldducmfwygpbvk") for _ in range(rng.randint(2, 10))) for _ in range(40)]
+    if size == 16:
+        return rand(rng, "0123456789", 200) if rng.random() < 0.5 else "".join(rng.choice(["decade", "facade", "bead", "cafe", "face", "dead", "fade", "2024", "10", "3"]) for _ in range(60))
+    if size == 32:
+        return "".join(w.upper() + (rng.choice("234567") if rng.random() < 0.2 else "") for w in some)
+    sep = rng.choice("-_/")
+    return [sep.join(some), "".join(w.capitalize() for w in some), sep.join(w if rng.random() < 0.7 else str(rng.randrange(3000)) for w in some), "".join(some)][rng.randrange(4)]
+
+
+def test_scores_of_natural_and_random_strings(spark):
+    """By encoding and length class: few natural strings pass p = 0.001, and most random ones p = 0.01."""
+    rng, rows = random.Random(6), []
+    alphabets = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    for size, letters in alphabets.items():
+        for n in (24, 40, 64, 128):
+            rows += [(size, n, True, natural(rng, size)[:n]) for _ in range(400)] + [(size, n, False, rand(rng, letters, n)) for _ in range(400)]
+    table = spark.createDataFrame(rows, "size int, n int, natural boolean, m string").repartition(8)
+    far = table.groupBy("size", "n", "natural").agg(F.avg((s.score(F.col("m")) > F.when(F.col("natural"), 3.09).otherwise(2.33)).cast("int")).alias("far")).collect()
+    for r in far:
+        if r.natural:
+            assert r.far <= 0.01, r
+        elif r.n >= 40:
+            assert r.far >= 0.85, r
+
+
+def test_cut_offs_against_benjamini_hochberg(spark):
+    """Slow form on the p-values themselves: the largest rank whose p is at most RATE * rank / tests, class by class."""
+    rng = random.Random(2)
+    p_values = {c: [10 ** -rng.uniform(0.4, 9) if rng.random() < share else rng.random() for _ in range(900)] for c, share in ((0, 0.02), (1, 0.3), (2, 0.9), (3, 0.0))}
+    bins = [(c, [int(-10 * math.log10(p)) if p <= 0.5 else -1 for p in ps]) for c, ps in p_values.items()]
+    tested = [([(0, 1, c, b) for b in bs],) for c, bs in bins]
+    got = s.cut_offs(spark.createDataFrame(tested, "tested array<struct<s:int,e:int,c:int,b:int>>"))
+    for c, bs in bins:
+        rounded = sorted(10 ** (-b / 10) if b >= 0 else 1.0 for b in bs)
+        passed = [p for k, p in enumerate(rounded, 1) if p <= s.RATE * k / len(bs)]
+        want = sum(p <= passed[-1] for p in rounded) if passed else 0
+        assert sum(b >= got.get(c, 10**9) for b in bs) == want, c
+
+
+def test_candidates_of_one_class_are_tested(spark):
+    t = [(1, "x" * 30 + " " + "-" * 40 + " " + "1234567890" * 3)]
+    got = spark.createDataFrame(t, "i int, t string").select(s.candidates(F.col("t")).alias("c")).first().c
+    assert [(x.s, x.e) for x in got] == [(0, 30), (31, 71), (72, 102)] and all(x.b < 20 for x in got)
+
+
 def test_empty(spark):
     assert s.spans(docs.empty(spark), ["doc_id"]).collect() == []
