@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasewell.llm import linededup, packing, quality, secretscan, simhash
-from phasewell.llm.common import Work
+from phasewell.llm.common import Work, release
 from phasewell.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,9 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's result is written in the shared folder and read again."""
+    """Applies the stages to documents; each stage's result is written in the shared folder and read again.
+
+    A stage's own tables, and the result before it, go as soon as its result is written.
+    """
     work = Work(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        since = len(Work.left)
         docs = work.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        release(since)
+        if k:
+            work.drop(f"stage-{k - 1}")
     return docs
