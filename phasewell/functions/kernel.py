@@ -163,6 +163,17 @@ def scores(amplitude: np.ndarray, phase: np.ndarray, q_amp: np.ndarray, q_phase:
     return energy, np.arctan2(np.sin(diff).sum(1), cos.sum(1))
 
 
+def energies(a_amp: np.ndarray, a_phase: np.ndarray, b_amp: np.ndarray, b_phase: np.ndarray) -> np.ndarray:
+    """Energies of all rows of a against all rows of b by one matrix product of complex components."""
+    x, y = a_amp * np.exp(1j * a_phase), b_amp * np.exp(1j * b_phase)
+    ea, eb = (a_amp * a_amp).sum(1)[:, None], (b_amp * b_amp).sum(1)[None, :]
+    product = np.hstack([x.real, x.imag]) @ np.hstack([y.real, y.imag]).T
+    both = ea + eb
+    with np.errstate(invalid="ignore", divide="ignore"):
+        balance = np.where((ea > 0) & (eb > 0), 2 * np.sqrt(ea * eb) / both, 0.0)
+        return np.where(both == 0, 0.0, 0.5 * (both + 2 * product) / both * balance)
+
+
 def score_udf(q_amp: list[float], q_phase: list[float]):
     """Arrow-batched scorer of one query: (amplitude, phase) -> struct<energy, phase_delta>."""
     qa, qp = np.asarray(q_amp, float), np.asarray(q_phase, float)

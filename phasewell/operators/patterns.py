@@ -10,21 +10,20 @@ from phasewell.schema import CONFIG, Config, InvalidPattern
 
 
 def fold(df: DataFrame, vector: str = "embedding", scale: Column | None = None) -> DataFrame:
-    """Adds amplitude, phase and energy_total: component i is made of elements 2i and 2i + 1 of a real vector."""
+    """Adds amplitude, phase and energy_total: component i is made of elements 2i and 2i + 1 of a real vector.
+
+    The work grows with the vector's length: the array is cast and split once a row. An odd last element is left out.
+    """
     v = F.col(vector).cast("array<double>")
-    half = F.sequence(F.lit(0), (F.size(vector) / 2).cast("int") - 1)
-    amp = F.transform(half, lambda i: F.sqrt(F.get(v, 2 * i) * F.get(v, 2 * i) + F.get(v, 2 * i + 1) * F.get(v, 2 * i + 1)))
-    phase = F.transform(half, lambda i: F.atan2(F.get(v, 2 * i + 1), F.get(v, 2 * i)))
-    out = df.withColumn("amplitude", amp).withColumn("phase", phase)
+    every_other = lambda k: F.slice(F.filter(v, lambda x, i: i % 2 == k), 1, F.greatest(F.floor(F.size(vector) / 2).cast("int"), F.lit(0)))
+    amp = F.zip_with(every_other(0), every_other(1), lambda x, y: F.sqrt(x * x + y * y))
+    phase = F.zip_with(every_other(0), every_other(1), lambda x, y: F.atan2(y, x))
     if scale is not None:
-        out = out.withColumn("_scale", scale).withColumn("amplitude", F.transform("amplitude", lambda a: a * F.col("_scale"))).drop("_scale")
+        amp = F.transform(F.arrays_zip(amp.alias("a"), F.array_repeat(scale, F.size(amp)).alias("s")), lambda z: z["a"] * z["s"])
+    out = df.withColumns({"amplitude": amp, "phase": phase})
     return out.withColumn("energy_total", kernel.energy_total(F.col("amplitude")))
 
 
-def same_length(length: int) -> Column:
-    return (F.size("amplitude") == length) & (F.size("phase") == length)
-
-
 def checked(amplitude, phase, length: int | None = None, config: Config = CONFIG) -> tuple[list[float], list[float]]:
     """One pattern's arrays as lists of floats; raises InvalidPattern."""
     if amplitude is None or phase is None:

@@ -39,10 +39,6 @@ def circular_distance(a: Column, b: Column) -> Column:
     return F.least(d, 2 * math.pi - d)
 
 
-def relevant(shards: DataFrame, center: Column, config: Config = CONFIG) -> Column:
-    return circular_distance(shards["centroid"], center) <= config.epsilon
-
-
 def routed_buckets(held: DataFrame, psi: DataFrame, config: Config = CONFIG) -> tuple[list[int], int]:
     """Buckets near the query's centre (all, if none is near) and how many rows they hold."""
     shards = centroids(held)

@@ -98,8 +98,14 @@ def q_superpose(s, d):
     return composite(s, d).select(F.posexplode(F.arrays_zip("amplitude", "phase")).alias("pos", "c")).select("pos", r6(F.col("c.amplitude")).alias("amplitude"), r6(F.col("c.phase")).alias("phase"))
 
 
+def q_superpose_weighted(s, d):
+    """The whole table under weights of its own."""
+    rows = table(s, d)
+    return patterns.superpose(rows, 1 / (1 + F.col("label"))).select(F.posexplode(F.arrays_zip("amplitude", "phase")).alias("pos", "c")).select("pos", r6(F.col("c.amplitude")).alias("amplitude"), r6(F.col("c.phase")).alias("phase"))
+
+
 def q_superpose_by_label(s, d):
-    return patterns.superpose(table(s, d), by=["label"]).select("label", F.posexplode("amplitude").alias("pos", "amplitude")).withColumn("amplitude", r6(F.col("amplitude")))
+    return patterns.superpose(table(s, d), by=["label"]).select("label", F.posexplode(F.arrays_zip("amplitude", "phase")).alias("pos", "c")).select("label", "pos", r6(F.col("c.amplitude")).alias("amplitude"), r6(F.col("c.phase")).alias("phase"))
 
 
 def q_query_topk(s, d):
@@ -132,6 +138,25 @@ def q_query_batch_topk(s, d):
     return query.query_batch(rows, rows.where(F.col(ID) % 100 == 0), K, ID, DIGITS).select("query_id", "rank", *MATCH)
 
 
+def q_query_float32(s, d):
+    """Unrounded: energies and priorities in single precision rank."""
+    return query.query(table(s, d, True), one(s, d, 0, True), K, ID).select(ID, F.col("energy").cast("double").alias("energy"))
+
+
+def q_query_arrow(s, d):
+    psi = one(s, d, 0, True).first()  # one pattern
+    return query.query_arrow(table(s, d, True), psi.amplitude, psi.phase, K, ID, DIGITS)
+
+
+def q_query_ignore_phase(s, d):
+    return query.query(table(s, d, True), one(s, d, 0, True), K, ID, DIGITS, ignore_phase=True).select(*MATCH)
+
+
+def q_query_distinct(s, d):
+    rows = table(s, d)
+    return query.query(rows.unionByName(rows), one(s, d), K, ID, DIGITS, distinct=True).select(*MATCH)
+
+
 def q_query_filtered(s, d):
     return query.query(table(s, d).where(F.col("label") == 3), one(s, d), K, ID, DIGITS).select(*MATCH)
 
@@ -184,7 +209,7 @@ def q_query_routed_topup(s, d):
 
 def q_insert_dedup(s, d):
     rows = table(s, d)
-    accepted, _ = store.insert_batch(rows.where(F.col(ID) % 3 == 0), rows.where(F.col(ID) % 2 == 0).unionByName(rows.where(F.col(ID) % 4 == 0)), ID)
+    accepted, _ = store.insert_batch(rows.where("label < 5"), rows.unionByName(rows), ID)
     return accepted.select(ID, "label")
 
 
@@ -220,11 +245,14 @@ def q_corpus_counts(s, d):
 
 
 def q_content_hash(s, d):
-    return table(s, d).select(ID, identity.content_id("amplitude", "phase").alias("content_id"))
+    """Patterns taken from the vectors as they stand, so that both engines see the same bits."""
+    v, every_other = F.col("embedding").cast("array<double>"), lambda k: (lambda x, i: i % 2 == k)
+    return s.read.parquet(f"{d}/embeddings.parquet").select(ID, identity.content_id(F.transform(F.filter(v, every_other(0)), F.abs), F.filter(v, every_other(1))).alias("content_id"))
 
 
 def q_hash_route(s, d):
-    return placed(s, d).select(ID, routing.hash_route(F.col("phase_center"), 16).alias("shard"))
+    """Centres taken from the vectors' first components."""
+    return s.read.parquet(f"{d}/embeddings.parquet").select(ID, routing.hash_route(F.get("embedding", F.lit(0)).cast("double"), 16).alias("shard"))
 
 
 def q_text_id(s, d):
@@ -244,6 +272,8 @@ def folded(name: str, scaled: bool) -> str:
     return f"{name} AS (SELECT vec_id, label, list_transform({over}, lambda i: sqrt({x}*{x} + {y}*{y}){factor}) AS amp, list_transform({over}, lambda i: atan2({y}, {x})) AS ph FROM embeddings)"
 
 
+#: The bits of a double as 16 hexadecimal digits.
+BITS = "hex(CAST({} AS DOUBLE)::BIT::BLOB)"
 IDX = "range(1, len(q.amp) + 1)"
 EA, EB = "list_sum(list_transform(q.amp, lambda x: x*x))", "list_sum(list_transform(c.amp, lambda x: x*x))"
 DELTA = f"atan2(list_sum(list_transform({IDX}, lambda i: sin(c.ph[i] - q.ph[i]))), list_sum(list_transform({IDX}, lambda i: cos(c.ph[i] - q.ph[i]))))"
@@ -299,7 +329,7 @@ SELECT q.vec_id AS query_id, c.vec_id, round(0.5 * (q.t + c.t + 2 * list_inner_p
     "zone_score_smooth": f"{TURN}, n AS (SELECT vec_id, k, round(greatest(least(energy, 1), 0) * 1000) / 1000 AS e, round(greatest(least(phase_delta, {math.pi!r}), 0) / {math.pi!r} * 1000) / 1000 * {math.pi!r} AS d FROM s) SELECT vec_id, k, round(1 / (1 + exp(-10 * (e - 0.5))) * exp(-(d * d) / {2 * (math.pi / 8) ** 2!r}), 6) AS score FROM n",
     "complex_algebra": f"{Z31} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(ar*br - ai*bi + 0.5*(ar - br), 6) AS re, round(ar*bi + ai*br + 0.5*(ai + bi), 6) AS im, round(sqrt(ar*ar + ai*ai), 6) AS size, round(br*br + bi*bi, 6) AS square FROM z",
     "superpose": f"WITH {folded('c', False)}, {SUPER}, e AS (SELECT amp, ph, unnest(range(1, len(amp) + 1)) AS i FROM q) SELECT CAST(i - 1 AS INTEGER) AS pos, round(amp[i], 6) AS amplitude, round(ph[i], 6) AS phase FROM e",
-    "superpose_by_label": f"WITH {folded('c', False)}, e AS (SELECT label, amp, ph, unnest(range(1, len(amp) + 1)) AS i FROM c), g AS (SELECT label, i, sum(amp[i]*cos(ph[i])) AS re, sum(amp[i]*sin(ph[i])) AS im FROM e GROUP BY label, i) SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(sqrt(re*re + im*im), 6) AS amplitude FROM g",
+    "superpose_by_label": f"WITH {folded('c', False)}, e AS (SELECT label, amp, ph, unnest(range(1, len(amp) + 1)) AS i FROM c), g AS (SELECT label, i, sum(amp[i]*cos(ph[i])) AS re, sum(amp[i]*sin(ph[i])) AS im FROM e GROUP BY label, i) SELECT label, CAST(i - 1 AS INTEGER) AS pos, round(sqrt(re*re + im*im), 6) AS amplitude, round(atan2(im, re), 6) AS phase FROM g",
     "query_topk": best(False, False) + "SELECT vec_id, energy FROM t",
     "query_detailed": best(True, True) + f"SELECT {D_COLS} FROM t",
     "query_interference_map": best(True, True) + "SELECT vec_id, energy, phase_delta AS phase_shift, zone FROM t",
@@ -307,6 +337,13 @@ SELECT q.vec_id AS query_id, c.vec_id, round(0.5 * (q.t + c.t + 2 * list_inner_p
     "query_composite": best(False, False, SUPER) + "SELECT vec_id, energy FROM t",
     "query_composite_detailed": best(False, True, SUPER) + f"SELECT {D_COLS} FROM t",
     "query_batch_topk": f"WITH {folded('c', True)}, q AS (SELECT * FROM c WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, c.vec_id, round({energy()}, 6) AS energy FROM q, c), p AS (SELECT *, energy + (vec_id = query_id)::INT::DOUBLE + 0.5 * (energy > 0.9999989867210388)::INT AS priority FROM s) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, energy DESC, vec_id) AS INTEGER) AS rank, vec_id, energy FROM p QUALIFY rank <= {K}",
+    "query_float32": f"WITH {folded('c', True)}, q AS (SELECT * FROM c WHERE vec_id = 0), s AS (SELECT c.vec_id, q.vec_id AS qid, CAST({energy()} AS FLOAT) AS energy FROM q, c), p AS (SELECT *, energy + (vec_id = qid)::INT::FLOAT + (0.5 * (energy > 0.9999989867210388)::INT)::FLOAT AS priority FROM s) SELECT vec_id, energy::DOUBLE AS energy FROM p ORDER BY priority DESC, p.energy DESC, vec_id LIMIT {K}",
+    "query_arrow": f"WITH {folded('c', True)}, q AS (SELECT * FROM c WHERE vec_id = 0), s AS (SELECT c.vec_id, round({energy()}, 6) AS energy, round({DELTA}, 6) AS phase_delta FROM q, c) SELECT * FROM s ORDER BY energy + 0.5 * (energy > 0.9999989867210388)::INT DESC, energy DESC, vec_id LIMIT {K}",
+    "query_ignore_phase": f"WITH {folded('c', True)}, q AS (SELECT * FROM c WHERE vec_id = 0), s AS (SELECT c.vec_id, q.vec_id AS qid, round({energy(False)}, 6) AS energy FROM q, c) SELECT vec_id, energy FROM s ORDER BY energy + (vec_id = qid)::INT + 0.5 * (energy > 0.9999989867210388)::INT DESC, energy DESC, vec_id LIMIT {K}",
+    "query_distinct": best(False, False) + "SELECT vec_id, energy FROM t",
+    "superpose_weighted": f"WITH {folded('c', False)}, e AS (SELECT label, amp, ph, unnest(range(1, len(amp) + 1)) AS i FROM c), g AS (SELECT i, sum(amp[i]*cos(ph[i]) / (1 + label)) AS re, sum(amp[i]*sin(ph[i]) / (1 + label)) AS im FROM e GROUP BY i) SELECT CAST(i - 1 AS INTEGER) AS pos, round(sqrt(re*re + im*im), 6) AS amplitude, round(atan2(im, re), 6) AS phase FROM g",
+    "content_hash": f"WITH b AS (SELECT vec_id, list_transform(range(1, len(embedding) // 2 + 1), lambda i: {BITS.format('abs(embedding[2*i-1])')} || {BITS.format('embedding[2*i]')}) AS h FROM embeddings) SELECT vec_id, md5(from_hex(array_to_string(h, ''))) AS content_id FROM b",
+    "hash_route": f"WITH x AS (SELECT vec_id, {BITS.format('embedding[1]')} AS h FROM embeddings), y AS (SELECT vec_id, xor(('0x' || h[1:8])::BIGINT, ('0x' || h[9:16])::BIGINT) AS v FROM x), z AS (SELECT vec_id, CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END AS v FROM y) SELECT vec_id, CAST(((v % 16) + 16) % 16 AS INTEGER) AS shard FROM z",
     "query_filtered": best(False, False, scope="c.label = 3") + "SELECT vec_id, energy FROM t",
     "late_materialise": best(False, False) + "SELECT vec_id, energy, round(list_sum(amp), 6) AS total FROM t JOIN c USING (vec_id)",
     "phase_bucket": f"WITH {PLACED} SELECT vec_id, round(center, 6) AS phase_center, phase_bucket FROM b",
@@ -317,7 +354,7 @@ SELECT q.vec_id AS query_id, c.vec_id, round(0.5 * (q.t + c.t + 2 * list_inner_p
     "shard_floor_route": f"WITH {PLACED} SELECT vec_id, coalesce((SELECT max_by(g.phase_bucket, centroid) FROM g WHERE centroid <= b.norm), (SELECT min_by(g.phase_bucket, centroid) FROM g)) AS routed_bucket FROM b",
     "query_routed": best(True, False, scope=IN_USE, extra=ROUTED.replace("KK", str(K))) + "SELECT vec_id, energy FROM t",
     "query_routed_topup": best(True, True, k=10_000, scope=IN_USE, extra=ROUTED.replace("KK", "10000")) + f"SELECT {D_COLS} FROM t",
-    "insert_dedup": "SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0",
+    "insert_dedup": "SELECT vec_id, label FROM embeddings WHERE label >= 5",
     "delete_anti": "SELECT vec_id, label FROM embeddings WHERE label <> 1",
     "replace_merge": "SELECT CASE WHEN vec_id % 5 = 0 THEN vec_id + 1000000 ELSE vec_id END AS vec_id, CASE WHEN vec_id % 5 = 0 THEN label + 100 ELSE label END AS label FROM embeddings",
     "exact_contains": "SELECT vec_id, label < 5 AS found FROM embeddings",

@@ -21,6 +21,10 @@ class Config:
     top_k: int = 10
     top_k_max: int = 10_000
     longest: int = 65_536
+    segment_rows: int = 500_000
+    file_rows: int = 100_000
+    compact_above: int = 3
+    compact_fill: float = 0.35
 
     @property
     def width(self) -> float:
@@ -49,6 +53,12 @@ class DuplicatePattern(StoreError):
     code = "duplicate"
 
 
+class CorpusNotReady(StoreError):
+    """The corpus's state doesn't allow the operation."""
+
+    code = "conflict"
+
+
 class PatternNotFound(StoreError):
     code = "not_found"
 

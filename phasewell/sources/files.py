@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from phasewell.schema import PATTERN_SCHEMA
 
 
+#: Parameter: state files that stay.
+KEPT = 3
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -31,11 +36,8 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def read_state(spark: SparkSession, path: str) -> dict | None:
-    """A small JSON file, None if there is none."""
+def read_json(spark: SparkSession, path: str) -> dict:
     fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return None
     stream = fs.open(p)
     try:
         return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
@@ -43,21 +45,37 @@ def read_state(spark: SparkSession, path: str) -> dict | None:
         stream.close()
 
 
-def write_state(spark: SparkSession, path: str, state: dict) -> None:
-    """Writes beside the place and renames, so that a reader sees the old or the new file."""
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the state files state-<n>.json in a folder, rising. Half-written ones have another name."""
+    return sorted(int(m[1]) for n in names(spark, folder) if (m := re.fullmatch(r"state-(\d+)\.json", n)))
+
+
+def read_state(spark: SparkSession, folder: str) -> dict | None:
+    """The state of the highest version, None if there is none."""
+    found = versions(spark, folder)
+    return read_json(spark, f"{folder}/state-{found[-1]}.json") if found else None
+
+
+def write_state(spark: SparkSession, folder: str, state: dict) -> None:
+    """Adds state["version"]'s file: written beside its place and renamed, never over another. Nothing is deleted before,
+    so at every moment a reader finds the old or the new state; older files but the last KEPT go afterwards."""
+    path = f"{folder}/state-{state['version']}.json"
     fs, p = _fs(spark, path)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    stream = fs.create(beside, True)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(beside, False)
     stream.write(bytearray(json.dumps(state, sort_keys=True).encode()))
     stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"can't rename to {path}")
+    if fs.exists(p) or not fs.rename(beside, p):
+        fs.delete(beside, False)
+        raise OSError(f"{path} exists: another writer was first")
+    for old in versions(spark, folder)[:-KEPT]:
+        remove(spark, f"{folder}/state-{old}.json")
 
 
 def read_patterns(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """Patterns (id, amplitude, phase, metadata) from Parquet, ORC or JSON lines."""
+    if form not in ("parquet", "orc", "json"):
+        raise ValueError(f"can't read patterns from {form}")
     return spark.read.schema(PATTERN_SCHEMA).format(form).load(path)
 
 

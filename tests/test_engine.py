@@ -1,16 +1,21 @@
+import io
 import math
+import time
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from phasewell import cli
 from phasewell.functions import identity, kernel
 from phasewell.operators import patterns, query, routing
 from phasewell.operators.store import Store
 from phasewell.plans import registry
-from phasewell.schema import CorpusNotFound, DuplicatePattern, InvalidPattern, PatternNotFound, clamp_k
+from phasewell.schema import PATTERN_SCHEMA, CorpusNotFound, CorpusNotReady, DuplicatePattern, InvalidPattern, PatternNotFound, clamp_k
+from phasewell.sources import files
 from phasewell.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +54,7 @@ def test_identity(spark):
     assert identity.content_id_of(*const(0.7, 0.3, 1536)) == "c2dea8beb84ea1590201d34843c50d8e"
     assert frame(spark, [FIXED]).select(identity.content_id("amplitude", "phase")).first()[0] == identity.content_id_of(*FIXED)
     assert identity.checksum(b"abc", 4) == 0x352441C2
+    assert identity.checksum(b"", 8) == xxhash.xxh64(b"", 0x9747B28C).intdigest()
     with pytest.raises(ValueError):
         identity.checksum(b"", 3)
 
@@ -106,6 +112,142 @@ def test_store(spark, tmp_path):
     assert s.compact("c") >= 1 and s.table("c").count() == 10
 
 
+def test_store_writes_batches_only(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.insert("c", frame(spark, [const(1.0, 0.01 * i) for i in range(50)]))
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    ids = [r.id for r in s.table("c").select("id").collect()]
+    s.insert("c", frame(spark, [const(1.0, 3.0)]))
+    s.delete("c", ids[:2])
+    assert all(f.stat().st_mtime_ns == t for f, t in before.items())
+    segments = s.info("c")["segments"]
+    assert [x["rows"] for x in segments] == [50, 1, 2] and s.table("c").count() == s.info("c")["count"] == 49
+    assert s.compact_if_thin("c") == 0
+    s.insert("c", frame(spark, [const(1.0, 4.0)]))
+    assert s.compact_if_thin("c") == 4 and len(s.info("c")["segments"]) == 1 and s.table("c").count() == 50
+    assert s.insert("c", frame(spark, [const(1.0, 0.01 * i) for i in range(50)]), on_duplicate="skip") == 2  # the deleted ones come back
+
+
+def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path))
+    s.insert("c", frame(spark, [const(1.0, 0.1)]))
+    old = s.info("c")
+    monkeypatch.setattr(files, "write_state", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        s.insert("c", frame(spark, [const(1.0, 0.2)]))  # its segment is written, its state isn't
+    monkeypatch.undo()
+    assert s.info("c") == old and s.table("c").count() == 1
+    assert s.insert("c", frame(spark, [const(1.0, 0.3)])) == 1 and s.table("c").count() == 2
+    with pytest.raises(OSError, match="another writer"):
+        files.write_state(spark, f"{tmp_path}/c", old | {"version": s.info("c")["version"]})
+    (tmp_path / "c" / ".half.tmp").write_text("{")
+    assert s.info("c")["count"] == 2
+    for f in (tmp_path / "c").glob("state-*.json"):
+        f.unlink()
+    assert not s.exists("c") and s.recover("c")["pattern_len"] == 4 and s.table("c").count() >= 2
+    with pytest.raises(CorpusNotFound):
+        s.recover("none")
+
+
+def test_states_and_metadata(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.insert("c", frame(spark, [const(1.0, 0.1), const(1.0, 0.2)]))
+    i = identity.content_id_of(*const(1.0, 0.1))
+    assert s.metadata("c", i) == {"n": "0"} and s.contains_metadata("c", i)
+    s.put_metadata("c", i, {"a": "b"})
+    assert s.metadata("c", i.upper()) == {"a": "b"} and s.table("c").count() == 2
+    s.remove_metadata("c", i)
+    assert not s.contains_metadata("c", i) and s.metadata_table("c").count() == 1
+    with pytest.raises(PatternNotFound):
+        s.metadata("c", "0" * 32)
+    s.set_state("c", "READ_ONLY")
+    for change in (lambda: s.insert("c", frame(spark, [const(1.0, 0.9)])), lambda: s.delete("c", [i]), lambda: s.compact("c")):
+        with pytest.raises(CorpusNotReady):
+            change()
+    assert s.query("c", *const(1.0, 0.1)).count() == 2
+    s.set_state("c", "BROKEN")
+    with pytest.raises(CorpusNotReady):
+        s.query("c", *const(1.0, 0.1))
+    with pytest.raises(ValueError):
+        s.set_state("c", "GONE")
+
+
+def test_compare_interference_and_wild_numbers(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    assert s.compare(*const(1.0, 0.0), *const(1.0, 0.2)) == pytest.approx(0.99003327, abs=1e-6)
+    assert s.compare(*const(1.0, 0.0), *const(1.0, 0.2), ignore_phase=True) == 1.0
+    for bad in ((*const(1.0, 0.0), *const(1.0, 0.0, 5)), ([1.0], [1.0, 2.0], [1.0], [1.0]), ([], [], [], []), (None, [1.0], [1.0], [1.0])):
+        with pytest.raises(InvalidPattern):
+            s.compare(*bad)
+    with pytest.raises(InvalidPattern):
+        s.insert("c", frame(spark, [([1.0, float("nan")], [0.0, 0.0])]))
+    s.insert("c", frame(spark, [const(1.0, 0.1 * i) for i in range(5)]))
+    one = s.query_interference("c", *const(1.0, 0.0), 3).first()
+    assert len(one.matches) == 3 and [m.zone for m in one.matches] == ["CORE"] * 3
+    assert s.query_interference_map("c", *const(1.0, 0.0), 3).columns == ["id", "energy", "phase_shift", "zone"]
+    with pytest.raises(InvalidPattern):
+        s.query_interference("c", *const(1.0, 0.0, 3))
+
+
+def test_nan_ranks_last_and_ids_once(spark):
+    rows = [("a", *const(1.0, 0.4)), ("a", *const(1.0, 0.4)), ("b", *const(1.0, 0.5)), ("n", [float("nan")] * 4, [0.0] * 4)]
+    table = spark.createDataFrame(rows, "id string, amplitude array<double>, phase array<double>")
+    psi = spark.createDataFrame([("q", *const(1.0, 0.0))], table.schema)
+    assert [r.id for r in query.query(table, psi, 9).collect()] == ["a", "a", "b", "n"]
+    assert [r.id for r in query.query(table, psi, 9, distinct=True).collect()] == ["a", "b", "n"]
+    assert dict(query.query(table, psi, 9).dtypes)["energy"] == "float"
+    assert [(r.id, r["rank"]) for r in query.query_batch(table.where("id != 'n'").dropDuplicates(["id"]), psi, 5).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+
+
+def test_fold_is_linear_in_the_length(spark):
+    def seconds(length, rows):
+        df = spark.range(rows).select(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda x: (x * 7 % 13).cast("double") - 6).alias("embedding"))
+        folded = patterns.fold(df).select("amplitude", "phase", "energy_total")
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            folded.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    seconds(8, 100)
+    assert seconds(3072, 2000) < 3 * seconds(192, 32_000) + 1  # the same number of components
+    odd = spark.createDataFrame([([3.0, 4.0, 9.0],), (None,), ([],)], "embedding array<float>")
+    assert [(r.amplitude, r.energy_total) for r in patterns.fold(odd).collect()] == [([5.0], 25.0), (None, None), ([], 0.0)]
+
+
+def test_sources(spark, tmp_path):
+    pats = spark.createDataFrame([("a", [1.0], [0.5], {"x": "y"}), ("b", [2.0], [0.1], None)], PATTERN_SCHEMA)
+    for form in ("parquet", "orc", "json"):
+        files.write_patterns(pats, f"{tmp_path}/{form}", form)
+        assert sorted(map(tuple, files.read_patterns(spark, f"{tmp_path}/{form}", form).select("id", "amplitude", "phase").collect())) == [("a", [1.0], [0.5]), ("b", [2.0], [0.1])]
+    with pytest.raises(ValueError):
+        files.read_patterns(spark, str(tmp_path), "csv")
+    matches = spark.createDataFrame([("a", 0.5, 0.25, "CORE", 2.0)], "id string, energy float, phase_delta double, zone string, zone_score double")
+    files.write_tsv(matches, f"{tmp_path}/tsv")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/tsv").collect()] == ["a\t0.50000000\t0.25000000\tCORE\t2.0000"]
+
+
+def test_cli(spark, tmp_path, capsys, monkeypatch):
+    root, amp, phase = str(tmp_path), "1,1,1", "0.1,0.2,0.3"
+    assert cli.main([root, "insert", amp, phase, "--meta", "a:b"]) == 0 and cli.main([root, "insert", amp, "0.2,0.3,0.4"]) == 0
+    assert cli.main([root, "insert", amp, phase]) == 1 and cli.main([root, "query", "1,1", "0,0"]) == 1 and cli.main([root, "nothing"]) == 1 and cli.main([root]) == 1
+    capsys.readouterr()
+    assert cli.main([root, "info"]) == 0 and capsys.readouterr().out == "default\t3\t2\tACTIVE\n"
+    assert cli.main([root, "compare", "1,1", "0,0", "1,1", "0,0"]) == 0 and capsys.readouterr().out == "1.00000000\n"
+    first = identity.content_id_of([1.0] * 3, [0.1, 0.2, 0.3])
+    for command, columns in (("query", 2), ("querydetailed", 5), ("interferencemap", 4)):
+        assert cli.main([root, command, amp, phase, "-k", "1"]) == 0
+        out = capsys.readouterr().out.strip().split("\t")
+        assert out[0] == first and len(out) == columns
+    assert cli.main([root, "interference", amp, phase]) == 0 and capsys.readouterr().out.count("\n") == 3
+    assert cli.main([root, "compositedetailed", f"{amp}|{phase}; {amp}|{phase}", "--weights", "0.5,0.5", "-k", "2"]) == 0 and capsys.readouterr().out.count("\n") == 2
+    monkeypatch.setattr("sys.stdin", io.StringIO(f"info\nbad\ndelete {first}\nexit\ninfo\n"))
+    assert cli.main([root, "repl"]) == 0 and capsys.readouterr().out.count("\n") == 1
+    assert cli.main([root, "replace", identity.content_id_of([1.0] * 3, [0.2, 0.3, 0.4]), amp, phase]) == 0 and capsys.readouterr().out.strip() == first
+    assert cli.main(["help"]) == 0 and "interferencemap" in capsys.readouterr().out
+
+
 def test_streaming_ingest(spark, tmp_path):
     frame(spark, [const(1.0, 0.1 * i) for i in range(5)] * 2).write.parquet(f"{tmp_path}/in")
     s = Store(spark, f"{tmp_path}/store")
