@@ -1,11 +1,13 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from phasewell.llm import topk
+from phasewell.llm import queries, topk
 
 SCHEMA = "vec_id long, embedding array<float>, q int, id string, v int"
 
@@ -59,6 +61,31 @@ def test_bounds_prune_but_keep_ties():
     c = np.array([[rng.randint(-9, 9) for _ in range(8)] for _ in range(900)], float)
     ids = np.arange(900)
     rotation = np.linalg.svd(c)[2].T
-    got = topk.block_topk(ids[:5], c[:5], ids, c, 7, rotation, ids[:50], c[:50])
+    threshold = topk.first_thresholds(ids[:5], c[:5], 7, ids[:50], c[:50])
+    got = topk.block_topk(ids[:5], c[:5], ids, c, 7, rotation, threshold)
     want = [(q, i, s) for q in range(5) for s, i in sorted((-int(c[q] @ c[i]), i) for i in range(900) if i != q)[:7]]
     assert [(r, i, -s) for r, i, s in got] == want
+
+
+def test_strata_of_length_leave_out_blocks(spark, monkeypatch):
+    """Lengths that fall fast: the result is exact though few query rows are sent to few strata."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "SEEDS", 20)
+    rng = np.random.default_rng(5)
+    rows = [(i, (x / (1 + i % 97)).astype(np.float32).tolist()) for i, x in enumerate(rng.normal(size=(1200, 16)))]
+    sent = []
+    save = topk.Work.save
+    monkeypatch.setattr(topk.Work, "save", lambda self, df, name: sent.append((name, out := save(self, df, name))) or out)
+    assert {tuple(r) for r in run(spark, rows).collect()} == brute(rows)
+    asked = dict(sent)["asked"].select(F.size("strata").alias("n")).collect()
+    assert len(asked) == 24 and sum(r.n for r in asked) < 0.5 * 24 * 30
+
+
+def test_rows_of_one_query_id_are_one_query(spark):
+    rows = [*vectors(120, 6), (50, [3.0] * 6), (100, [1.0] * 6), (100, [1.0] * 6)]
+    got = sorted(tuple(r) for r in run(spark, rows).collect())
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
+    assert got == sorted(con.execute(queries.OP1_SQL).fetchall())
+    assert [r[1] for r in got if r[0] == 50] == [1, 2, 3, 4, 5]
