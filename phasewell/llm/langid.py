@@ -1,13 +1,15 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-A text's subwords are the 2-, 3- and 4-byte windows of its lower-cased UTF-8 form in which everything that
-isn't a letter is a space; each is hashed to one of BUCKETS embeddings. The text is the mean of its
+A text's subwords are the 2-, 3- and 4-byte windows of its UTF-8 form with A-Z lower-cased, in which every ASCII byte that
+isn't a letter is a space (bytes of other characters, be they letters or not, stay); each is hashed to one of BUCKETS embeddings. The text is the mean of its
 embeddings, a linear layer and a softmax follow. Embeddings and layer are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled rows (SAMPLE rows, lowest hash of the id first); a fifth of
 it is held back to fit the softmax temperature and the score below which a prediction is marked as rejected.
 
+The threshold only sets the column rejected; lang_pred stays the likeliest label, as callers may want it all the same.
+
 Edge cases. A null text, or one without a letter, is "und" with score 0. Rows without a label or an id
-teach nothing. Without any labelled row every text is "und". Ties go to the label first in the alphabet.
+teach nothing; a row whose held_out is null isn't held out. Without any labelled row every text is "und". Ties go to the label first in the alphabet.
 Repeated rows get the same prediction; an empty table gives an empty result; other columns are ignored.
 Whole texts are read, in training as in prediction.
 """
@@ -166,6 +168,6 @@ def predict(df: DataFrame, model: Model | None, held_out: Column, id_col: str =
             rejected = pa.array([m is None or s < m.reject for _, s in out], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lang, score, rejected], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    text = F.col(text_col).cast("string")
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letter"))
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letter"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")

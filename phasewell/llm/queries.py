@@ -87,5 +87,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 5 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars > 25 * n_words) AS kept
 FROM b"""
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op3_langid, op4_linededup, op5_licenses, op6_urlfilter, op7_quality, op8_bpe, op9_secrets, op10_packing)}
-ORACLE = {"op1_topk": OP1_SQL, "op4_linededup": linededup.oracle(), "op6_urlfilter": urlfilter.oracle(), "op7_quality": OP7_SQL}
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's columns that SQL can express."""
+    return op5_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's columns that SQL can express."""
+    return op9_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def phrase_at(phrase: str) -> str:
+    return "(" + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split())) + ")"
+
+
+LICENSES_SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, list_filter(range(1, len(ws) + 1), lambda i: {" OR ".join(map(phrase_at, licenses.BASE))}) AS places,
+  [{", ".join(f"CASE WHEN len(list_filter(range(1, len(ws) + 1), lambda i: {phrase_at(x)})) > 0 THEN '{label}' END" for x, label in licenses.BASE.items())}] AS labels FROM w)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) - 1 AS BIGINT) AS first_word,
+  CAST(list_max(places) - 1 AS BIGINT) AS last_word, array_to_string(list_sort(list_filter(labels, lambda x: x IS NOT NULL)), ',') AS base_labels FROM p"""
+
+SECRETS_SQL = "SELECT doc_id, " + ", ".join("CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '{}', {}), lambda x: length(x) >= {})) AS BIGINT) AS n_{}".format(pattern.replace("'", "''"), group, least, kind) for kind, pattern, _, group, least in secretscan.KINDS) + " FROM documents"
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_simhash, op3_langid, op4_linededup, op5_licenses, op6_urlfilter, op7_quality, op8_bpe, op9_secrets, op10_packing, licenses_base, secrets_base)}
+ORACLE = {"op1_topk": OP1_SQL, "op4_linededup": linededup.oracle(), "op6_urlfilter": urlfilter.oracle(), "op7_quality": OP7_SQL, "licenses_base": LICENSES_SQL, "secrets_base": SECRETS_SQL}

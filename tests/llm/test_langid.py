@@ -47,3 +47,35 @@ def test_bag_equals_long_and_short_paths(monkeypatch):
     monkeypatch.setattr(langid, "SPAN", 7)
     cut = langid.bag(text)
     assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all() and np.allclose(z, model.logits(text), atol=1e-4)
+
+
+def slow(model, text):
+    """Prediction written out: every window, one at a time."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in b" " + text.encode() + b" ")
+    raw = bytes(b for i, b in enumerate(raw) if b != 32 or i and raw[i - 1] != 32)
+    total, count = np.zeros(len(model.labels)), 0
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            gram = 0
+            for b in raw[i : i + n]:
+                gram = (gram * 257 + b) % 2**32
+            h = (gram ^ (n * 0x9E3779B1 % 2**32)) * 0x85EBCA6B % 2**32
+            total += model.table[(h ^ (h >> 15)) % langid.BUCKETS]
+            count += 1
+    z = (total / max(count, 1) + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    return model.labels[int(p.argmax())], p.max()
+
+
+def test_every_prediction_against_slow_windows(spark):
+    table = docs.table(spark)
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"), F.lit(True), sample=300)
+    texts = [r[1] for r in docs.rows()]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, F.lit(None).cast("boolean")).collect()
+    assert table.count() == len(texts) == len(got)
+    for r in got:
+        want = slow(model, texts[r.doc_id])
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-4 and r.held_out is False, r

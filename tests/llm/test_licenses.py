@@ -42,6 +42,17 @@ def test_expressions():
     assert li.evaluate("GPL-2.0 WITH Linux-syscall-note") == ({"gpl-2.0-with-linux-syscall-note"}, False)
 
 
+def test_identifiers():
+    tag = lambda x: li.scan(f"SPDX-License-Identifier: {x}\n".encode())[5]
+    assert [tag(x) for x in ("see LICENSE file", "NOASSERTION", "NONE", "Proprietary", "MIT AND see")] == [""] * 5
+    assert tag("GPL-2.0+") == "gpl-2.0+" and tag("LicenseRef-Own AND MIT") == "licenseref-own,mit" and tag("LicenseRef-") == ""
+    assert tag("MIT -- a comment") == tag("MIT */") == "mit"
+    assert [li.polish(x) for x in ("(MIT OR ISC) WITH Classpath-exception-2.0", "MIT WITH ISC", "MIT WITH Classpath-exception-2.0 WITH LLVM-exception", "Classpath-exception-2.0")] == [None] * 4
+    assert li.scan(b"Apache License, Version 2.0. SPDX-License-Identifier: Apache-2.0")[5] == "apache-2.0"
+    assert li.scan(b"the Apache License")[5] == "apache"
+    assert len(li.IDENTIFIERS) < 200
+
+
 def test_labels():
     assert li.scan(TEXTS[0].encode())[5] == "cc-by,cc-by-nc" and li.scan(TEXTS[6].encode())[5] == "mit"
     got = li.scan(TEXTS[8].encode())

@@ -1,3 +1,5 @@
+import pytest
+
 from phasewell.llm import urlfilter as u
 
 SCHEMA = "page_id long, url string, html string, host string, verdict int"
@@ -5,7 +7,7 @@ SCHEMA = "page_id long, url string, html string, host string, verdict int"
 
 def verdicts(spark, urls):
     df = spark.createDataFrame([(i, x, None, "h", 3) for i, x in enumerate(urls)], SCHEMA)
-    return [tuple(r)[1:] for r in sorted(u.url_verdicts(df).collect())]
+    return [tuple(r)[1:7] for r in sorted(u.url_verdicts(df).collect())]
 
 
 def test_rules_and_vocabulary(spark):
@@ -23,3 +25,13 @@ def test_rules_and_vocabulary(spark):
 def test_empty_and_repeated(spark):
     assert verdicts(spark, []) == []
     assert len(set(verdicts(spark, ["http://a.org/"] * 3))) == 1
+
+
+def test_weights_and_a_vocabulary_of_ones_own(spark):
+    strict, soft = u.vocabulary(spark.createDataFrame([("bad", 9, True), ("meh", 2, False), ("hm", 1, False), ("hm", 1, False)], "term string, weight int, strict boolean"))
+    assert (strict, soft) == (("bad",), {"hm": 1, "meh": 2})
+    urls = ["http://a.net/bad", "http://a.net/meh/hm", "http://meh.net/hm", "http://meh.net/meh", "http://a.net/?hm=meh#hm-meh"]
+    got = u.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), strict=strict, soft=soft).orderBy("page_id").collect()
+    assert [(r.verdict, r.n_soft, r.soft_weight) for r in got] == [("block", 0, 0), ("allow", 2, 3), ("block", 2, 5), ("allow", 1, 4), ("allow", 2, 3)]
+    with pytest.raises(ValueError):
+        u.vocabulary(spark.createDataFrame([("Bad term", 1, True)], "term string, weight int, strict boolean"))
