@@ -30,7 +30,7 @@ from .common import batched
 
 #: Parameters: pairs remembered, and pieces remembered in each of two generations.
 PAIRS = 500_000
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 NEVER = 1 << 40
 #: Letters below this are old enough to be letters to every Unicode version.
 SETTLED = "\u0530"
