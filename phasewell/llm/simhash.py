@@ -366,6 +366,23 @@ def probe(fps, wide, values, masks, radius, levels) -> Iterator[tuple[np.ndarray
                 yield across(fps, wide, mine, others, radius, levels)
 
 
+def starred(pairs: np.ndarray) -> np.ndarray:
+    """Of pairs (distance, a, b): (0, smallest, other) for each set that they connect, so that later rounds meet no chains."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for _, x, y in pairs.tolist():
+        x, y = find(x), find(y)
+        up[max(x, y)] = min(x, y)
+        up.setdefault(min(x, y), min(x, y))
+    return np.array([(0, r, x) for x in up if (r := find(x)) != x], np.int64).reshape(-1, 3)
+
+
 def forest(pairs: np.ndarray) -> np.ndarray:
     """Those of the pairs (distance first) that each connect two sets that weren't connected yet."""
     root: dict[int, int] = {}
@@ -388,8 +405,9 @@ def forest(pairs: np.ndarray) -> np.ndarray:
 SMALL = 512
 
 
-def links(work: Work, nodes: DataFrame, radius: int, levels: tuple[int, ...] = (), banded: bool = False) -> DataFrame:
-    """(a, b): ids of nodes that lie within radius bits, as spanning links.
+def links(work: Work, nodes: DataFrame, radius: int, levels: tuple[int, ...] = (), banded: bool = False, stars: bool = False) -> DataFrame:
+    """(a, b): ids of nodes that lie within radius bits, as spanning links (stars: each task's sets as stars instead,
+    which connect the same nodes).
 
     With levels, also within levels[-1] wide bits, spanning at each level; their number comes as a column apart.
     nodes: id, fp, w and, if banded, band: only nodes whose bands differ by at most one are compared.
@@ -459,6 +477,8 @@ def links(work: Work, nodes: DataFrame, radius: int, levels: tuple[int, ...] = (
         a, b = a[keep], b[keep]
         apart = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64) if use_wide else np.zeros(len(a), np.int64)
         pairs = forest(np.unique(np.column_stack([apart, ids[a], ids[b]]), axis=0))
+        if stars:
+            pairs = starred(pairs)
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in (1, 2, 0)], names=["a", "b", "apart"])
 
@@ -474,7 +494,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     work = Work(df.sparkSession, "simhash")
     prints = work.save(fingerprints(df, id_col, text_col, shingle).select("id", "fp"), "prints")
     nodes = work.save(prints.groupBy("fp").agg(F.min("id").alias("id")).where("id IS NOT NULL").select("id", "fp"), "nodes")
-    found = components(work, links(work, nodes, radius))
+    found = components(work, links(work, nodes, radius, stars=True))
     named = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component"))
     return prints.join(work.save(named, "named"), "fp", "left").select("id", "fp", "component")
 
@@ -486,17 +506,18 @@ SHORT = 32
 
 
 def alike(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
-    """Pairs of row numbers whose sets (none empty) have a Jaccard similarity of at least least, as spanning links.
+    """Row numbers that pairs of a Jaccard similarity of at least least connect (no set is empty), as stars.
 
     Breadth first: each row is compared with all rows not yet reached, so only pairs that confirmed links join are left out.
     """
     sizes = np.array([len(s) for s in sets])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
     starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(flat), np.uint8)
-    a, b, front, todo, left = [], [], [], np.arange(len(sets)), flat
+    a, b, front, todo, left, root = [], [], [], np.arange(len(sets)), flat, 0
     while len(todo):
         if not front:
-            front, left, todo = [int(todo[0])], left[sizes[todo[0]] :], todo[1:]
+            root = int(todo[0])
+            front, left, todo = [root], left[sizes[todo[0]] :], todo[1:]
             continue
         c = front.pop()
         own = flat[starts[c] : starts[c] + sizes[c]]
@@ -506,7 +527,7 @@ def alike(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
         near = both >= least * (sizes[c] + sizes[todo] - both)
         if near.any():
             reached = todo[near].tolist()
-            a, b, front = a + [c] * len(reached), b + reached, front + reached
+            a, b, front = a + [root] * len(reached), b + reached, front + reached
             left, todo = left[np.repeat(~near, sizes[todo])], todo[~near]
     return a, b
 
@@ -570,7 +591,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     prints = work.save(keyed.select("id", "fp", "w", "n", "heads"), "prints")
     nodes = prints.where("n > 0 AND id IS NOT NULL").groupBy("fp", "w").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("heads").alias("heads"))
     nodes = work.save(nodes.select("id", "fp", "w", F.floor(F.log(ratio, F.col("n"))).cast("long").alias("band"), "n", "heads"), "nodes")
-    likely = work.save(links(work, nodes, radius, levels, banded=True), "likely")
+    likely = work.save(links(work, nodes, radius, levels, banded=True, stars=True), "likely")
     groups = work.save(components(work, likely), "groups")
     members = groups.join(nodes, groups["node"] == nodes["id"]).select(F.lit(0).alias("kind"), F.col("component").alias("key"), "id", "n")
     short = nodes.select(F.lit(1).alias("kind"), F.explode("heads").alias("key"), "id", "n")
