@@ -598,22 +598,20 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     members = members.unionByName(short)
     found = components(work, confirmed(work, df, members, id_col, text_col, shingle, similarity))
     lost = work.save(found.where("node != component").select(F.col("node").alias("id")), "lost")
-    stay = work.save(nodes.select("id").join(lost, "id", "left_anti"), "stay")
+    stay = nodes.select("id").join(lost, "id", "left_anti")
     empty = prints.where("n = 0 AND id IS NOT NULL").select("id").distinct()
     if one_blank:
         empty = empty.agg(F.min("id").alias("id")).where("id IS NOT NULL")
-    keep = work.save(stay.unionByName(empty), "keep")
+    named = prints.where("id IS NOT NULL").select("id").distinct()
+    gone = work.save(named.join(stay.unionByName(empty), "id", "left_anti"), "gone")  # fewer than those that stay
     twice = prints.where("id IS NOT NULL").groupBy("id", "fp").count().where("count > 1").select("id").distinct()
-    twice = work.save(twice, "twice")  # ids that equal rows may share; few as a rule
-    for done in ("prints", "nodes", "likely", "groups", "stay", "lost"):
+    twice = work.save(twice.join(gone, "id", "left_anti"), "twice")  # ids that equal rows may share; few as a rule
+    for done in ("prints", "nodes", "likely", "groups", "lost"):
         work.drop(done)
     columns = [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)]
     inside = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    named = inside.join(keep, "id", "left_semi")
     if twice.isEmpty():
-        out = named.select(*columns)
-    else:  # only rows of such ids are dealt out to find equal ones
-        rank = F.row_number().over(Window.partitionBy("id", F.xxhash64("t")).orderBy(F.lit(0)))
-        once = named.join(twice, "id", "left_semi").withColumn("rank", rank).where("rank = 1")
-        out = named.join(twice, "id", "left_anti").select(*columns).unionByName(once.select(*columns))
-    return out.unionByName(inside.where("id IS NULL").select(*columns))
+        return inside.join(gone, "id", "left_anti").select(*columns)
+    rank = F.row_number().over(Window.partitionBy("id", F.xxhash64("t")).orderBy(F.lit(0)))
+    once = inside.join(twice, "id", "left_semi").withColumn("rank", rank).where("rank = 1")  # only these rows are dealt out
+    return inside.join(gone.unionByName(twice), "id", "left_anti").select(*columns).unionByName(once.select(*columns))
