@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -33,9 +34,14 @@ OPEN = 8
 FAN = 64
 END = 1
 PIECES = 20_000
+#: Runs of marks remembered in each of two generations.
+MARK_RUNS = 5_000
 
 BYTE_CHARS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: ASCII marks but those of special tokens; behind a word, a run of them is one piece.
+MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 TO_CHARS = {b: b for b in BYTE_CHARS} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in BYTE_CHARS)}
+SPACE = chr(TO_CHARS[32])
 
 
 class Tokens:
@@ -52,6 +58,7 @@ class Tokens:
         #: The shortcuts below hold for plain byte-level tokenizers; others get every text whole.
         self.short = not made["normalizer"] and not made["post_processor"] and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and all("<|" in t["content"] and "|>" in t["content"] for t in made["added_tokens"])
         self.first, self.later = Remembered(self.chunk), Remembered(self.chunk, " ")
+        self.marks = Remembered(self.word, most=MARK_RUNS)
         self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -59,15 +66,21 @@ class Tokens:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def word(self, piece: str) -> bytes:
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(piece.encode().decode("latin1").translate(TO_CHARS)))
+        if piece.isascii() and piece.isprintable():
+            piece = piece.replace(" ", SPACE)
+        else:
+            piece = piece.encode().decode("latin1").translate(TO_CHARS)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, chunk: str) -> bytes:
-        """A word with at most one mark behind it goes straight to the model; anything else through the whole tokenizer."""
+        """A word goes straight to the model, and once for all runs of marks behind it; anything else through the whole tokenizer."""
         bare = chunk[1:] if chunk[0] == " " else chunk
-        if bare.isalpha() and max(bare) < SETTLED:
-            return self.word(chunk)
-        if bare[-1] in ".,;:!?" and bare[:-1].isalpha() and max(bare) < SETTLED:
-            return self.word(chunk[:-1]) + self.word(chunk[-1])
+        letters = bare.rstrip(MARKS)
+        if letters.isalpha() and (letters.isascii() or max(letters) < SETTLED):
+            if len(letters) == len(bare):
+                return self.word(chunk)
+            return (self.later if chunk[0] == " " else self.first)[letters] + self.marks[bare[len(letters) :]]
         if "<|" in chunk or "|>" in chunk:
             raise Unsafe  # may be part of a special token
         return self.whole(chunk)

@@ -88,3 +88,28 @@ def test_tokenizer_with_a_prefix_space_takes_no_shortcut(tmp_path):
     assert not mine.short
     for x in ("one two three", "word.", ""):
         assert np.frombuffer(mine.ids(x), "<u4").tolist() == want.encode(x, add_special_tokens=False).ids
+
+
+def test_words_go_to_the_model_once_whatever_marks_follow():
+    mine, want = packing.Tokens(queries.TOKENIZER), Tokenizer.from_file(queries.TOKENIZER)
+    model, asked, wholes = mine.model, [], []
+
+    class Model:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    mine.model, mine.whole = Model(), lambda text: wholes.append(text) or b""
+    text = "Éa\n" + " ".join(["wordy wordy. wordy, wordy!! wordy.,!? éa éa### éa$$$ éa##"] * 3)
+    got = mine.ids(text)
+    assert wholes == []  # was once for each word with a run of marks
+    assert len(asked) == len(set(asked)) == 11  # four spellings of words (a space or none before them), seven runs
+    assert np.frombuffer(got, "<u4").tolist() == want.encode(text, add_special_tokens=False).ids
+
+
+def test_runs_of_marks_against_the_library():
+    mine, want = packing.Tokens(queries.TOKENIZER), Tokenizer.from_file(queries.TOKENIZER)
+    runs = [a + b + c for a in packing.MARKS + "<|>" for b in ["", *packing.MARKS, "<", "|", ">"] for c in ("", "'", "s", "'s", "1", "é", "…")]
+    for word in ("on", "Déjà", "中"):
+        for text in (" ".join(word + r for r in runs), "\n".join(word + r for r in runs), " ".join(r + word for r in runs)):
+            assert np.frombuffer(mine.ids(text), "<u4").tolist() == want.encode(text, add_special_tokens=False).ids
