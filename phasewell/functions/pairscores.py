@@ -67,6 +67,31 @@ class ClosedForm:
         return cls.energy(q.of["t"], c.of["t"], total(q.of["v"][:, :n] * c.of["v"][:, :n]))
 
 
+def balanced(ea, eb, product):
+    """kernel.balanced in numpy."""
+    both = ea + eb
+    balance = np.where((ea > 0) & (eb > 0), 2 * np.sqrt(ea * eb) / both, 0.0)
+    return np.where(both == 0, 0.0, 0.5 * (both + 2 * product) / both * balance)
+
+
+class IgnorePhase:
+    """Energy of amplitudes alone."""
+
+    columns = ("amplitude",)
+
+    @staticmethod
+    def block(valid, a):
+        return {"a": a, "t": total(a * a)}
+
+    @staticmethod
+    def fast(q, c, n):
+        return balanced(q.of["t"][:, None], c.of["t"], q.of["a"][:, :n] @ c.of["a"][:, :n].T), DOUBT
+
+    @staticmethod
+    def exact(q, c, n):
+        return balanced(q.of["t"], c.of["t"], total(q.of["a"][:, :n] * c.of["a"][:, :n]))
+
+
 def blocks(kind, rows: pa.Table) -> list[tuple[np.ndarray, Block | None]]:
     """Row numbers and patterns by length; None for those that are null."""
     columns, out = [rows[c].combine_chunks() for c in kind.columns], []

@@ -16,6 +16,10 @@ NAN = float("nan")
 CLOSED = "compare_closed_form"
 
 
+#: Lengths differ, some odd; null vectors and components; components that aren't finite, that are zero or huge; opposite and equal ones.
+ODD = [[1, 2, 3, 4], [1, 2, 3, 4, 5], None, [1, 2], [], [-1, -2, -3, -4], [None, 2, 3, 4], [1, 2, None, 4], [None, None], [NAN, 1, 2, 3], [float("inf"), 1, 2, 3], [0, 0, 0, 0], [1e20, 1, 1, 1], [3, 0, 0, 4], [0, 1], [0, 0], [1, 2, 3, 4]]
+
+
 def check(spark, folder, name, vectors, ids=None, labels=None):
     """The query's rows on these vectors and the SQL's are the same; returns them."""
     n = len(vectors)
@@ -62,3 +66,11 @@ def test_parts_and_batches_lose_no_pair(spark):
 def test_rounding_is_that_of_sql(x, want):
     got = pairscores.rounded(np.array([x]), 6)[0]
     assert repr(float(got)) == repr(want)
+
+
+def test_ignore_phase_matches_sql(spark, tmp_path):
+    assert "Join" not in plan(spark, "compare_ignore_phase")
+    assert len(check(spark, tmp_path, "compare_ignore_phase", ODD)) == 17 * 9
+    # amplitudes of whole numbers: ties between two rounded scores
+    rng = np.random.default_rng(2)
+    check(spark, tmp_path, "compare_ignore_phase", [[x, 0.0, 0.0, y] for x, y in rng.integers(-4, 5, (300, 2)).tolist()], labels=[0] * 300)
