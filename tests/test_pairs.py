@@ -74,3 +74,17 @@ def test_ignore_phase_matches_sql(spark, tmp_path):
     # amplitudes of whole numbers: ties between two rounded scores
     rng = np.random.default_rng(2)
     check(spark, tmp_path, "compare_ignore_phase", [[x, 0.0, 0.0, y] for x, y in rng.integers(-4, 5, (300, 2)).tolist()], labels=[0] * 300)
+
+
+def test_mean_delta_matches_sql(spark, tmp_path):
+    assert "Join" not in plan(spark, "mean_phase_delta")
+    assert len(check(spark, tmp_path, "mean_phase_delta", ODD)) == 17 * 9
+
+
+def test_mean_delta_of_any_phases(spark):
+    """Phases beyond a turn, as a table of patterns may have them, against the column kernel."""
+    p = np.random.default_rng(3).uniform(-20, 20, (60, 7))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "id long, phase array<double>")
+    got = {(r.query_id, r.id): r.score for r in pairs.all_pairs(rows, rows, pairscores.MeanDelta).collect()}
+    d = np.abs(np.arctan2(np.sin(p[None] - p[:, None]), np.cos(p[None] - p[:, None]))).mean(2)
+    assert len(got) == 3600 and max(abs(got[i, j] - d[i, j]) for i, j in got) < 1e-12
