@@ -130,6 +130,28 @@ class MeanDelta:
         return total(np.abs(np.arctan2(np.sin(d), np.cos(d))), used(q, c, n)) / q.length
 
 
+class PhaseDelta:
+    """Circular mean of the phase differences, the row's less the query's."""
+
+    columns = ("phase",)
+
+    @staticmethod
+    def block(p):
+        return {"p": p, "c": np.cos(p), "s": np.sin(p)}
+
+    @staticmethod
+    def fast(q, c, n):
+        qc, qs, cc, cs = q.of["c"][:, :n], q.of["s"][:, :n], c.of["c"][:, :n].T, c.of["s"][:, :n].T
+        re, im, err = qc @ cc + qs @ cs, qc @ cs - qs @ cc, 1e-14 * n
+        # opposite phases: the sign of next to nothing chooses between pi and -pi; a short sum has no sure direction
+        return np.arctan2(im, re), np.where((re < 0) & (np.abs(im) <= err), np.inf, DOUBT + err / np.hypot(re, im))
+
+    @staticmethod
+    def exact(q, c, n):
+        d, use = c.of["p"][:, :n] - q.of["p"][:, :n], used(q, c, n)
+        return np.arctan2(total(np.sin(d), use), total(np.cos(d), use))
+
+
 def blocks(kind, rows: pa.Table) -> list[tuple[np.ndarray, Block | None]]:
     """Row numbers and patterns by length, those with null components apart; None for patterns that are null."""
     columns, out = [rows[c].combine_chunks() for c in kind.columns], []

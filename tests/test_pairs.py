@@ -88,3 +88,12 @@ def test_mean_delta_of_any_phases(spark):
     got = {(r.query_id, r.id): r.score for r in pairs.all_pairs(rows, rows, pairscores.MeanDelta).collect()}
     d = np.abs(np.arctan2(np.sin(p[None] - p[:, None]), np.cos(p[None] - p[:, None]))).mean(2)
     assert len(got) == 3600 and max(abs(got[i, j] - d[i, j]) for i, j in got) < 1e-12
+
+
+def test_phase_delta_matches_sql(spark, tmp_path):
+    assert "Join" not in plan(spark, "phase_delta_pairs")
+    assert len(check(spark, tmp_path, "phase_delta_pairs", ODD)) == 17 * 9
+    # opposite directions, where the sign of next to nothing chooses between pi and -pi
+    rng = np.random.default_rng(4)
+    some = rng.integers(-2, 3, (60, 4))
+    check(spark, tmp_path, "phase_delta_pairs", [*some.tolist(), *(-some).tolist()])
