@@ -152,6 +152,26 @@ class PhaseDelta:
         return np.arctan2(total(np.sin(d), use), total(np.cos(d), use))
 
 
+class Compare:
+    """Energy of patterns, kernel.compare."""
+
+    columns = ("amplitude", "phase")
+
+    @staticmethod
+    def block(a, p):
+        return {"a": a, "p": p, "x": a * np.cos(p), "y": a * np.sin(p), "t": total(a * a)}
+
+    @staticmethod
+    def fast(q, c, n):
+        product = q.of["x"][:, :n] @ c.of["x"][:, :n].T + q.of["y"][:, :n] @ c.of["y"][:, :n].T
+        return balanced(q.of["t"][:, None], c.of["t"], product), DOUBT
+
+    @staticmethod
+    def exact(q, c, n):
+        turned = np.cos(c.of["p"][:, :n] - q.of["p"][:, :n])
+        return balanced(q.of["t"], c.of["t"], total(q.of["a"][:, :n] * c.of["a"][:, :n] * turned, used(q, c, n)))
+
+
 def blocks(kind, rows: pa.Table) -> list[tuple[np.ndarray, Block | None]]:
     """Row numbers and patterns by length, those with null components apart; None for patterns that are null."""
     columns, out = [rows[c].combine_chunks() for c in kind.columns], []

@@ -97,3 +97,12 @@ def test_phase_delta_matches_sql(spark, tmp_path):
     rng = np.random.default_rng(4)
     some = rng.integers(-2, 3, (60, 4))
     check(spark, tmp_path, "phase_delta_pairs", [*some.tolist(), *(-some).tolist()])
+
+
+def test_compare_matches_sql(spark, tmp_path):
+    assert "Join" not in plan(spark, "compare_pairs")
+    assert len(check(spark, tmp_path, "compare_pairs", ODD)) == 17 * 9
+    check(spark, tmp_path, "compare_pairs", np.random.default_rng(5).normal(size=(400, 64)).tolist())
+    # whole numbers along the axes: ties between two rounded scores
+    some = np.random.default_rng(6).integers(-3, 4, (200, 2))
+    check(spark, tmp_path, "compare_pairs", [[x, 0, 0, y] for x, y in some.tolist()], labels=[0] * 200)
